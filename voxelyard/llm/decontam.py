@@ -21,6 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _WORD = re.compile(r"\w+")
+#: Score classes of one index: each costs one prefix sum over a document's terms.
+GROUPS = 16
+#: An index up to this size also keeps its impacts as tables, which tell groups without a hit faster than cursors do.
+DENSE_BYTES = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -79,22 +83,45 @@ class BlockMaxIndex:
         self.items = [texts[i] for i in order]
         self.need = [p.share * own[i] for i in order]
         self.parts = [tuple((shingles(x, min(p.shingle, len(x) or 1)), min(p.shingle, len(x) or 1)) for x in texts[i][1:]) for i in order]
-        self.windows = sorted(set(group))
+        # Groups: items of one window and like scores, at most GROUPS of them beside one for each window, so that bounds and thresholds are tight.
+        chunk = max(p.block, -(-len(order) // GROUPS))
+        placed: list[tuple[int, int]] = []
+        for n, i in enumerate(order):
+            fresh = n == 0 or group[i] != group[order[n - 1]]
+            start = n if fresh or n - placed[-1][1] >= chunk else placed[-1][1]
+            placed.append((group[i], start))
+        keys = sorted(set(placed))
+        self.windows = [w for w, _ in keys]
         self.terms = {t: k for k, t in enumerate(sorted(df))}
         self.bounds = np.zeros((len(self.windows), len(self.terms) + 1))
         self.floor = np.full(len(self.windows), math.inf)
         self.postings: list[dict[int, list]] = [defaultdict(list) for _ in self.windows]
         for n, i in enumerate(order):
-            g = self.windows.index(group[i])
+            g = keys.index(placed[n])
             self.floor[g] = min(self.floor[g], self.need[n])
             for t, w in weights[i].items():
                 k = self.terms[t]
                 self.postings[g][k].append((n, w))
                 self.bounds[g, k] = max(self.bounds[g, k], w)
+        self.impacts = self._dense(len(self.windows))
         self.blocks = [
             {k: self._block_maxima(found) for k, found in postings.items()} for postings in self.postings
         ]
 
+    def _dense(self, groups: int) -> list[tuple[np.ndarray, np.ndarray]] | None:
+        """Per group the impacts as terms x items, and the items' thresholds; None beyond ``DENSE_BYTES`` (the postings then do alone)."""
+        held = [sorted({n for found in p.values() for n, _ in found}) for p in self.postings]
+        if 8 * len(self.terms) * sum(map(len, held)) > DENSE_BYTES:
+            return None
+        out = []
+        for g in range(groups):
+            at, table = {n: k for k, n in enumerate(held[g])}, np.zeros((len(self.terms), len(held[g])))
+            for t, found in self.postings[g].items():
+                for n, w in found:
+                    table[t, at[n]] = w
+            out.append((table, np.array([self.need[n] for n in held[g]])))
+        return out
+
     def _block_maxima(self, found: list) -> dict[int, float]:
         out: dict[int, float] = {}
         for n, w in found:
@@ -182,6 +209,10 @@ class BlockMaxIndex:
                 terms = terms[terms < none]
                 if self.bounds[g][terms].sum() < self.floor[g] * (1 - 1e-9):
                     continue
+                if self.impacts is not None:
+                    table, need = self.impacts[g]
+                    if (table[terms].sum(axis=0) < need * (1 - 1e-9)).all():
+                        continue
                 d = own[w]
                 for item, score in self.search(g, terms.tolist()):
                     passage = docs[d][begin[w] - first[d] : end[w] - first[d]]
