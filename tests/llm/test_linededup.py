@@ -41,8 +41,18 @@ def test_against_brute_force(spark):
         rows.append((i, "\n".join(lines), f"s{i % 17}" if i % 11 else None, 1))
     rows += [(500, None, "s1", 1), (501, "", "s2", 1), (None, "shared by very many sites", "s3", 1)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, source string, pos int")
-    got = sorted(str((r.doc_id, r.text)) for r in d.drop_boilerplate(frame, min_sites=5).collect())
-    assert got == brute([r[:3] for r in rows], 5, d.MIN_WORDS)
+    for sent in (d.SENT_LINES, 0):  # both ways of cutting
+        out = d.drop_boilerplate(frame, min_sites=5, sent_lines=sent)
+        assert sorted(str((r.doc_id, r.text)) for r in out.collect()) == brute([r[:3] for r in rows], 5, d.MIN_WORDS)
+
+
+def test_both_ways_agree(spark):
+    lines = [f"{word} line with \u00e9 {'x' * k}" for k, word in enumerate(["first", "second", "third", "fourth\x0b"] * 10)]
+    rows = [(i, "\r\n".join(lines[i % 7 :: i % 5 + 1]) + "\n", f"s{i}") for i in range(60)] * 2
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    ways = [d.drop_boilerplate(frame, sent_lines=n) for n in (d.SENT_LINES, 0)]
+    first, second = (sorted(map(str, w.collect())) for w in ways)
+    assert first == second and sum(r.removed_lines for r in ways[0].collect()) > 100
 
 
 def test_edges(spark):

@@ -6,6 +6,8 @@ a few partial sketches. Estimates far from the threshold decide; lines near it g
 
 from __future__ import annotations
 
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,17 +19,21 @@ MIN_WORDS = 4
 LG_K = 9
 #: Estimates within this share of the threshold (and one site at least) are counted exactly.
 BAND = 0.25
+#: Characters that end words and are trimmed from lines.
+SPACES = " \t\n\x0b\x0c\r"
+#: Boilerplate lines up to this number (some 20 MB) are sent to every executor; beyond it their positions are joined.
+SENT_LINES = 100_000
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
-    """One row per line of every document: id, position, the trimmed line's 128-bit hash and words, site."""
+def _lines(docs: DataFrame, id_col: str, text_col: str, site_col: str, min_words: int) -> DataFrame:
+    """One row per line of at least ``min_words`` words: id, position, the trimmed line's 128-bit hash, site."""
     split = docs.select(F.col(id_col).alias("doc_id"), F.col(site_col).alias("site"), F.posexplode(F.split(text_col, "\n")).alias("pos", "raw"))
-    line = F.regexp_replace("raw", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
-    words = F.size(F.split("line", r"[\x20\x09-\x0D]+"))
+    # A trimmed line ends in a word, so only the words before it need matching; the pattern stops at the last one asked for.
+    long_enough = F.col("line").rlike(rf"^(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){{{max(0, min_words - 1)}}}[^\x20\x09-\x0D]")
     return (
-        split.withColumn("line", line)
-        .where("line <> ''")
-        .select("doc_id", "site", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), words.alias("words"))
+        split.withColumn("line", F.btrim("raw", F.lit(SPACES)))
+        .where(long_enough)
+        .select("doc_id", "site", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
     )
 
 
@@ -36,7 +42,7 @@ def line_spread(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A null site is no site. Lines under ``min_words`` words are left out: short phrases recur by chance.
     """
-    lines = _lines(docs, id_col, text_col, site_col).where(F.col("words") >= min_words)
+    lines = _lines(docs, id_col, text_col, site_col, min_words)
     merged = lines.groupBy("h1", "h2").agg(
         F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"), F.count("site").alias("n"), F.min("doc_id").alias("first_id")
     )
@@ -54,7 +60,7 @@ def line_spread(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def boilerplate_positions(docs: DataFrame, spread: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_words: int = MIN_WORDS) -> DataFrame:
     """``(doc_id, drop array<int>)``: positions of boilerplate lines per document; the document with the smallest id keeps its first one."""
-    lines = _lines(docs, id_col, text_col, site_col).where(F.col("words") >= min_words).drop("words")
+    lines = _lines(docs, id_col, text_col, site_col, min_words)
     held = lines.join(spread.select("h1", "h2", "first_id"), ["h1", "h2"])
     own = F.col("doc_id").eqNullSafe(F.col("first_id"))
     kept_first = held.where(own).groupBy("doc_id", "h1", "h2").agg(F.sort_array(F.collect_set("pos")).alias("at"))
@@ -69,15 +75,60 @@ def clean_text(text: Column, drop: Column) -> Column:
     return F.when(drop.isNull(), text).otherwise(F.array_join(kept, "\n"))
 
 
-def drop_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> DataFrame:
+def _cutter(lines):
+    """An Arrow function ``(id, text) -> (text, removed lines)`` over the broadcast boilerplate ``{h1: {h2: first_id}}``."""
+    seed = second_seed()
+
+    def cut(doc_id, text: bytes, known: dict) -> tuple[bytes, int]:
+        raw, kept, seen = text.split(b"\n"), [], set()
+        for line in raw:
+            bare = line.strip()
+            found = known.get(xxhash.xxh64_intdigest(bare, 42))
+            if found is not None:
+                h2 = xxhash.xxh64_intdigest(bare, seed)
+                if h2 in found and (found[h2] != doc_id or bare in seen):
+                    continue
+                seen.add(bare)
+            kept.append(line)
+        return (b"\n".join(kept), len(raw) - len(kept)) if len(kept) < len(raw) else (text, 0)
+
+    def run(ids: pa.Array, texts: pa.Array) -> pa.Array:
+        known = lines.value
+        done = [(t, 0) if t is None else cut(i, t, known) for i, t in zip(ids.to_pylist(), texts.to_pylist(), strict=True)]
+        parts = pa.array([t for t, _ in done], pa.binary()), pa.array([n for _, n in done], pa.int32())
+        return pa.StructArray.from_arrays(list(parts), ["text", "removed"])
+
+    return run
+
+
+def second_seed() -> int:
+    """Spark chains the hashes of several columns: that of the integer 1 seeds that of the line."""
+    return xxhash.xxh64_intdigest((1).to_bytes(4, "little"), 42)
+
+
+def drop_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, sent_lines: int = SENT_LINES) -> DataFrame:
     """``docs`` with boilerplate lines cut from ``text`` and a column ``removed_lines`` (int).
 
     Lines are compared trimmed; case counts. Of each boilerplate line the occurrence in the document with the smallest id stays. Null texts stay
     null; a null id is an id like any other; repeated rows lose the same lines; other columns are kept as they are. An
-    empty table gives an empty result.
+    empty table gives an empty result. Up to ``sent_lines`` boilerplate lines are broadcast and cut beside each row, so
+    that no text is shuffled; with more, line positions are joined to the documents.
     """
     spread = write_table(line_spread(docs, id_col, text_col, site_col, min_sites, min_words), "boilerplate")
+    if spread.limit(sent_lines + 1).count() <= sent_lines:
+        return _cut_in_place(docs, spread, id_col, text_col)
     drop = boilerplate_positions(docs, spread, id_col, text_col, site_col, min_words).select(F.col("doc_id").alias("__id"), F.col("drop").alias("__drop"))
     joined = docs.join(drop, docs[id_col].eqNullSafe(drop["__id"]), "left")
     cleaned = joined.withColumn(text_col, clean_text(F.col(text_col), F.col("__drop")))
     return cleaned.withColumn("removed_lines", F.coalesce(F.size("__drop"), F.lit(0))).select(*docs.columns, "removed_lines")
+
+
+def _cut_in_place(docs: DataFrame, spread: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    lines: dict[int, dict] = {}
+    for r in spread.select("h1", "h2", "first_id").toLocalIterator():
+        lines.setdefault(r.h1 % (1 << 64), {})[r.h2 % (1 << 64)] = r.first_id
+    cut = F.arrow_udf(_cutter(docs.sparkSession.sparkContext.broadcast(lines)), "struct<text: binary, removed: int>")
+    done = docs.withColumn("__cut", cut(F.col(id_col), F.col(text_col).cast("binary")))
+    # Texts that lost nothing are passed on as they came, not by way of Python.
+    text = F.when(F.col("__cut.removed") > 0, F.col("__cut.text").cast("string")).otherwise(F.col(text_col))
+    return done.select(*(text.alias(c) if c == text_col else F.col(c) for c in docs.columns), F.col("__cut.removed").alias("removed_lines"))
