@@ -64,3 +64,13 @@ def test_sequences(spark):
     assert sum(len(r.document_starts) for r in rows) == 19
     last = rows[-1].n_tokens
     assert len(rows[-1].input_ids) == (last if last & (last - 1) == 0 else 2048)
+
+
+def test_quick_engine_gives_the_same_ids(plain):
+    tokenizer = packing.DocumentTokenizer(packing.vocabulary_path())
+    assert tokenizer.quick is not None
+    every = [chr(c) for c in range(1, 0x30000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{c}1{c} {c}\n{c}'{c}s " for c in every[k : k + 400]) for k in range(0, len(every), 400)]
+    texts += ["x" * 100_000, " " * 100_000 + "a", "\n \n  a", "a <|endoftext|> b", "it's I'LL 'Re", "\u0000﻿", "é́" * 5000, " "]
+    for text in texts:
+        assert tokenizer.encode(text) == struct.pack(f"<{len(ids := plain.encode(text, add_special_tokens=False).ids)}I", *ids)

@@ -7,9 +7,11 @@ boundary record (piece) on either side; no text or token moves between machines.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
 from itertools import accumulate
 
 import numpy as np
@@ -23,52 +25,65 @@ from voxelyard.llm._shared import write_table
 WINDOW = 2048
 END_ID = 1
 VOCABULARY = "byte_bpe_50k.json"
-#: Words whose ids a task remembers.
-MEMO_WORDS = 300_000
 PIECE = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-class _Memo(dict):
-    """Ids of pieces as little-endian bytes; forgets everything when full."""
+def _merges_only(spec: dict) -> bool:
+    """Whether a tokenizer file is plain byte-level BPE whose ids follow its merges: only then do ids alone decide the merges."""
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not spec.get("normalizer")
+    if not plain or model.get("type", "BPE") != "BPE" or model.get("dropout") or model.get("ignore_merges") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"):
+        return False
+    merged = ("".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"])
+    return all(model["vocab"].get(token) == n for n, token in enumerate(merged, 256)) and len(model["vocab"]) == 256 + len(model["merges"])
 
-    def __init__(self, tokenizer, prefix: str):
-        super().__init__()
-        self.tokenizer, self.prefix = tokenizer, prefix
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.tokenizer.encode(self.prefix + piece, add_special_tokens=False).ids
-        found = np.array(ids, dtype="<u4").tobytes()
-        if len(piece) <= 64:
-            if len(self) >= MEMO_WORDS:
-                self.clear()
-            self[piece] = found
-        return found
+def _byte_of_char() -> dict[str, int]:
+    """Byte-level BPE files write visible Latin-1 bytes as themselves and the others, in order, from U+0100 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + n): b for n, b in enumerate(hidden)}
 
 
 class DocumentTokenizer:
-    """Token ids of texts by a byte-level BPE file.
+    """Token ids of whole texts by a byte-level BPE file.
 
-    Its pre-tokenizer never joins a visible character and a space that follows it, so a text may be cut before such spaces and
-    its parts encoded, and remembered, one by one; the ids are those of the whole text.
+    Where the file's ids are the order of its merges, a quicker engine merges by the same ids; the tests hold it
+    against the file's own. Texts that spell an added token, and long runs of white space, go to the file's own engine.
     """
 
-    _loose = re.compile(r"\s ")
-    _cut = re.compile(r"(?<=[!-~])(?=[ \n])")
+    #: The pre-tokenizer of byte-level BPE (a fixed pattern).
+    PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.plain = Tokenizer.from_file(path)
-        self.first, self.spaced = _Memo(self.plain, ""), _Memo(self.plain, " ")
+        self.plain, self.quick = Tokenizer.from_file(path), None
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        if _merges_only(spec):
+            import tiktoken
+
+            byte = _byte_of_char()
+            ranks = {bytes(byte[c] for c in token): n for token, n in spec["model"]["vocab"].items()}
+            self.quick = tiktoken.Encoding(path, pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.rare = re.compile("|".join([r"\s{256}", *(re.escape(t["content"]) for t in spec.get("added_tokens") or [])]))
 
     def encode(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         if not text:
             return b""
-        if text[0] == " " or self._loose.search(text):
-            return b"".join(map(self.first.__getitem__, self._cut.split(text)))
-        head, *rest = text.split(" ")
-        return self.first[head] + b"".join(map(self.spaced.__getitem__, rest))
+        if self.quick is None or self.rare.search(text):
+            ids = self.plain.encode(text, add_special_tokens=False).ids
+        else:
+            ids = self.quick.encode_ordinary(text)
+        return np.array(ids, "<u4").tobytes()
+
+
+@cache
+def document_tokenizer(path: str) -> DocumentTokenizer:
+    """One for each worker process, which serves many tasks."""
+    return DocumentTokenizer(path)
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -87,7 +102,7 @@ def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vo
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = DocumentTokenizer(vocabulary or vocabulary_path())
+        tokenizer = document_tokenizer(vocabulary or vocabulary_path())
         wide = tokenizer.plain.get_vocab_size() > 1 << 16
         end = np.array([end_id], "<u4").tobytes()
         part, before = TaskContext.get().partitionId(), 0
