@@ -13,7 +13,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +25,8 @@ _WORD = re.compile(r"\w+")
 GROUPS = 16
 #: An index up to this size also keeps its impacts as tables, which tell groups without a hit faster than cursors do.
 DENSE_BYTES = 64 << 20
+#: Numbers held at a time while windows are looked into; memory does not follow a text's length.
+ROW_IDS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -115,7 +117,7 @@ class BlockMaxIndex:
             return None
         out = []
         for g in range(groups):
-            at, table = {n: k for k, n in enumerate(held[g])}, np.zeros((len(self.terms), len(held[g])))
+            at, table = {n: k for k, n in enumerate(held[g])}, np.zeros((len(self.terms) + 1, len(held[g])))
             for t, found in self.postings[g].items():
                 for n, w in found:
                     table[t, at[n]] = w
@@ -194,32 +196,62 @@ class BlockMaxIndex:
     def _scan(self, docs: list[list[str]], found: list[dict]) -> None:
         none = len(self.terms)
         sizes = np.fromiter(map(len, docs), np.int64, len(docs))
-        get = self.terms.get
-        ids = np.fromiter((get(w, none) for w in chain.from_iterable(docs)), np.int64, int(sizes.sum()))
+        ids = np.fromiter(map(self.terms.get, chain.from_iterable(docs), repeat(none)), np.int32, int(sizes.sum()))
         first = np.cumsum(sizes) - sizes
+        totals = {}
         for g, window in enumerate(self.windows):
-            total = np.concatenate([[0.0], np.cumsum(self.bounds[g][ids])])
+            totals.setdefault(window, []).append((g, np.concatenate([[0.0], np.cumsum(self.bounds[g][ids])])))
+        for window, groups in totals.items():
             step = window // 2
             n = np.maximum(1, -(-(sizes - step) // step))
             own = np.repeat(np.arange(len(docs)), n)
             begin = first[own] + (np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)) * step
             end = np.minimum(begin + window, (first + sizes)[own])
-            for w in np.flatnonzero(total[end] - total[begin] >= self.floor[g] * (1 - 1e-9)):
-                terms = np.unique(ids[begin[w] : end[w]])
-                terms = terms[terms < none]
-                if self.bounds[g][terms].sum() < self.floor[g] * (1 - 1e-9):
-                    continue
-                if self.impacts is not None:
-                    table, need = self.impacts[g]
-                    if (table[terms].sum(axis=0) < need * (1 - 1e-9)).all():
-                        continue
-                d = own[w]
-                for item, score in self.search(g, terms.tolist()):
-                    passage = docs[d][begin[w] - first[d] : end[w] - first[d]]
-                    question, answer = self.verify(item, passage)
-                    if min(question, answer) >= self.params.overlap:
-                        name, now = self.items[item][0], (score * self.params.share / self.need[item], question, answer)
-                        found[d][name] = max(found[d].get(name, now), now)
+            # The bound with repeats needs no look into the windows; what it leaves is bound by distinct terms.
+            hopeful = [(g, total[end] - total[begin] >= self._least(g)) for g, total in groups]
+            left = np.flatnonzero(np.logical_or.reduce([h for _, h in hopeful]))
+            rows = max(1, ROW_IDS // window)
+            for at in range(0, len(left), rows):
+                some = left[at : at + rows]
+                terms = self._distinct(ids, begin[some], end[some], window)
+                for g, hope in hopeful:
+                    picked = np.flatnonzero(hope[some])
+                    picked = picked[self.bounds[g][terms[picked]].sum(axis=1) >= self._least(g)]
+                    for k in self._within_reach(g, terms, picked):
+                        d, lo, hi = own[some[k]], begin[some[k]], end[some[k]]
+                        self._report(g, terms[k][terms[k] < none].tolist(), docs[d][lo - first[d] : hi - first[d]], found[d])
+
+    def _least(self, g: int) -> float:
+        return self.floor[g] * (1 - 1e-9)
+
+    def _distinct(self, ids: np.ndarray, begin: np.ndarray, end: np.ndarray, window: int) -> np.ndarray:
+        """One row per window: its terms, sorted; a repeat or a place beyond the end holds the number of no term, whose impacts are zero."""
+        none = len(self.terms)
+        place = begin[:, None] + np.arange(window)
+        terms = np.where(place < end[:, None], ids[np.minimum(place, len(ids) - 1)], none) if len(ids) else np.full(place.shape, none)
+        terms.sort(axis=1)
+        terms[:, 1:][terms[:, 1:] == terms[:, :-1]] = -1
+        terms[terms < 0] = none
+        return terms
+
+    def _within_reach(self, g: int, terms: np.ndarray, picked: np.ndarray) -> Iterator[int]:
+        """Those of the picked windows in which some item of group g may reach its threshold."""
+        if self.impacts is None:
+            yield from picked
+            return
+        table, need = self.impacts[g]
+        rows = max(1, ROW_IDS // (terms.shape[1] * max(1, len(need))))
+        for at in range(0, len(picked), rows):
+            some = picked[at : at + rows]
+            yield from some[(table[terms[some]].sum(axis=1) >= need * (1 - 1e-9)).any(axis=1)]
+
+    def _report(self, g: int, terms: list[int], passage: list[str], found: dict) -> None:
+        """Search one passage, verify what is found and keep the best for each item."""
+        for item, score in self.search(g, terms):
+            question, answer = self.verify(item, passage)
+            if min(question, answer) >= self.params.overlap:
+                name, now = self.items[item][0], (score * self.params.share / self.need[item], question, answer)
+                found[name] = max(found.get(name, now), now)
 
 
 def index_shards(items: DataFrame, id_col: str, text_col: str, params: SearchParams) -> Iterator[list[tuple[object, str]]]:
