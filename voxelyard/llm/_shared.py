@@ -14,6 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def values_of(column, rows: int = 256) -> Iterator:
+    """Python values of an Arrow column, converted in slices: few of a batch's texts are held twice at a time."""
+    for at in range(0, len(column), rows):
+        yield from column.slice(at, rows).to_pylist()
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text as UTF-8 bytes; bytes.split() splits at exactly these characters."""
     return text.encode("utf-8", "surrogatepass").split() if text else []

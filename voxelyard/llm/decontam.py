@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import chain, repeat
 
@@ -20,13 +20,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxelyard.llm._shared import values_of
+
 _WORD = re.compile(r"\w+")
 #: Score classes of one index: each costs one prefix sum over a document's terms.
 GROUPS = 16
 #: An index up to this size also keeps its impacts as tables, which tell groups without a hit faster than cursors do.
 DENSE_BYTES = 64 << 20
 #: Numbers held at a time while windows are looked into; memory does not follow a text's length.
-ROW_IDS = 1 << 20
+ROW_IDS = 1 << 18
+#: Words of texts that are scanned together, whole texts at a time.
+SCAN_WORDS = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -181,16 +185,19 @@ class BlockMaxIndex:
             got.append(len(part & seen[size]) / len(part) if part else 1.0)
         return got[0], got[1]
 
-    def scan(self, texts: list[str | None]) -> list[dict[object, tuple[float, float, float]]]:
+    def scan(self, texts: Iterable[str | None]) -> list[dict[object, tuple[float, float, float]]]:
         """For each text the contaminating items with the best ``(score / own score, question overlap, answer overlap)``."""
-        found: list[dict] = [{} for _ in texts]
-        start, held, size = 0, [], 0
-        for i, text in enumerate(texts):
+        found: list[dict] = []
+        held, size = [], 0
+        for text in texts:
             held.append(words_of_text(text))
+            found.append({})
             size += len(held[-1])
-            if size >= 1 << 19 or i + 1 == len(texts):
-                self._scan(held, found[start : i + 1])
-                start, held, size = i + 1, [], 0
+            if size >= SCAN_WORDS:
+                self._scan(held, found[-len(held) :])
+                held, size = [], 0
+        if held:
+            self._scan(held, found[-len(held) :])
         return found
 
     def _scan(self, docs: list[list[str]], found: list[dict]) -> None:
@@ -287,7 +294,7 @@ def _searcher(index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            found = index.value.scan(batch.column("text").to_pylist())
+            found = index.value.scan(values_of(batch.column("text")))
             rows = [(d, i, *x) for d, f in zip(ids, found, strict=True) for i, x in sorted(f.items(), key=lambda y: str(y[0]))]
             d, i, s, q, a = zip(*rows, strict=True) if rows else [[]] * 5
             item_type = pa.array([x[0] for x in index.value.items]).type if index.value.items else pa.int64()
@@ -299,13 +306,17 @@ def _searcher(index):
     return run
 
 
+def _cleanness(index):
+    def clean(texts: pa.Array) -> pa.Array:
+        return pa.array([not f for f in index.value.scan(values_of(texts))], pa.bool_())
+
+    return clean
+
+
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", params: SearchParams = SearchParams()) -> DataFrame:
     """The rows of ``docs`` in which no item is found; the decision is made beside each row, so nothing is joined or shuffled."""
-    import pandas as pd
-
     spark, out = docs.sparkSession, docs
     for shard in index_shards(items, item_id, item_text, params):
         index = spark.sparkContext.broadcast(BlockMaxIndex(shard, params))
-        clean = F.pandas_udf(lambda texts, index=index: pd.Series([not f for f in index.value.scan(texts.tolist())], dtype=bool), "boolean")
-        out = out.where(clean(F.col(text_col)))
+        out = out.where(F.arrow_udf(_cleanness(index), "boolean")(F.col(text_col)))
     return out

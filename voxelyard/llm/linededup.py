@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelyard.llm._shared import write_table
+from voxelyard.llm._shared import values_of, write_table
 
 #: Sites from which a line is boilerplate, words that it must have, and precision of the sketches.
 MIN_SITES = 10
@@ -76,10 +76,10 @@ def clean_text(text: Column, drop: Column) -> Column:
 
 
 def _cutter(lines):
-    """An Arrow function ``(id, text) -> (text, removed lines)`` over the broadcast boilerplate ``{h1: {h2: first_id}}``."""
+    """An Arrow function ``(id, text) -> (text, removed lines)`` over the broadcast boilerplate ``{h1: {h2: first_id}}``; no text if it loses nothing."""
     seed = second_seed()
 
-    def cut(doc_id, text: bytes, known: dict) -> tuple[bytes, int]:
+    def cut(doc_id, text: bytes, known: dict) -> tuple[bytes | None, int]:
         raw, kept, seen = text.split(b"\n"), [], set()
         for line in raw:
             bare = line.strip()
@@ -90,11 +90,11 @@ def _cutter(lines):
                     continue
                 seen.add(bare)
             kept.append(line)
-        return (b"\n".join(kept), len(raw) - len(kept)) if len(kept) < len(raw) else (text, 0)
+        return (b"\n".join(kept), len(raw) - len(kept)) if len(kept) < len(raw) else (None, 0)
 
     def run(ids: pa.Array, texts: pa.Array) -> pa.Array:
         known = lines.value
-        done = [(t, 0) if t is None else cut(i, t, known) for i, t in zip(ids.to_pylist(), texts.to_pylist(), strict=True)]
+        done = [(None, 0) if t is None else cut(i, t, known) for i, t in zip(values_of(ids), values_of(texts), strict=True)]
         parts = pa.array([t for t, _ in done], pa.binary()), pa.array([n for _, n in done], pa.int32())
         return pa.StructArray.from_arrays(list(parts), ["text", "removed"])
 

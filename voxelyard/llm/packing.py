@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelyard.llm._shared import write_table
+from voxelyard.llm._shared import values_of, write_table
 
 WINDOW = 2048
 END_ID = 1
@@ -107,7 +107,7 @@ def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vo
         end = np.array([end_id], "<u4").tobytes()
         part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
-            encoded = [tokenizer.encode(t) + end for t in batch.column("text").to_pylist()]
+            encoded = [tokenizer.encode(t) + end for t in values_of(batch.column("text"))]
             counts = [len(x) // 4 for x in encoded]
             starts = list(accumulate(counts, initial=before))
             before = starts.pop()

@@ -8,14 +8,14 @@ all 64 bits.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelyard.llm._shared import words_of, write_table
+from voxelyard.llm._shared import values_of, words_of, write_table
 from voxelyard.operators.components import connected_components
 
 #: Members of one variant that are compared with each other in place; larger ones go to the two-sided variants.
@@ -25,14 +25,14 @@ SEED = 42
 
 def fingerprint(text: str | None, width: int = 3) -> int:
     """SimHash of one text: see ``fingerprints``."""
-    return int(_batch_fingerprints([text], width)[0])
+    return int(_batch_fingerprints([text], 1, width)[0])
 
 
-def _batch_fingerprints(texts: list, width: int) -> np.ndarray:
+def _batch_fingerprints(texts: Iterable, n_texts: int, width: int) -> np.ndarray:
     import xxhash
 
     digest = xxhash.xxh64_intdigest
-    out = np.zeros(len(texts), dtype=np.uint64)
+    out = np.zeros(n_texts, dtype=np.uint64)
     held, starts, rows, total = [], [], [], 0
 
     def flush() -> None:
@@ -59,7 +59,7 @@ def _batch_fingerprints(texts: list, width: int) -> np.ndarray:
         hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(first, last, strict=True)], dtype=np.uint64)
         held.append(hashes), starts.append(total), rows.append(row)
         total += n
-        if total > 1 << 20:
+        if total > 1 << 17:
             flush()
             total = 0
     flush()
@@ -78,7 +78,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = _batch_fingerprints(batch.column("text").to_pylist(), width)
+            fp = _batch_fingerprints(values_of(batch.column("text")), batch.num_rows, width)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
     return picked.mapInArrow(run, f"doc_id {kind.simpleString()}, fp long")
