@@ -55,3 +55,23 @@ def test_table(spark):
     docs = edge_docs(spark)
     assert s.scan_secrets(docs).count() == docs.count()
     assert s.scan_secrets(empty_docs(spark)).count() == 0
+
+
+def test_unpadded_keys_between_lines_of_prose():
+    integer = b"\x02\x20" + bytes(range(1, 33))
+    for extra in range(1, 7):
+        key = der(b"\x02\x01\x00", *[integer] * 4, b"\x04" + bytes([extra]) + bytes(extra))
+        ssh = b"".join(len(x).to_bytes(4, "big") + x for x in (b"ssh-ed25519", bytes(range(extra + 30))))
+        box = b"openssh-key-v1\0" + b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"")) + b"\0\0\0\1" + b"".join(len(x).to_bytes(4, "big") + x for x in (ssh, bytes(60 + extra)))
+        for raw in (key, ssh, box):
+            one = base64.b64encode(raw).decode().rstrip("=")
+            for body in (one, "\n".join(one[i : i + 64] for i in range(0, len(one), 64)), "\r\n".join(one[i : i + 64] for i in range(0, len(one), 64))):
+                for after in ("\nThis is prose.", "\r\nnext", "\nab", "\nabc\ndef word"):
+                    got = s.scan(f"x: {body}{after}")[4].split(",")
+                    if raw is not box:
+                        assert f"key:3:{3 + len(body)}" in got
+                    else:
+                        assert any(x.startswith("key:3:") for x in got)
+    one = base64.b64encode(der(b"\x02\x01\x00", *[integer] * 3, b"\x04\x01\x00")).decode().rstrip("=")
+    digest = "Zz" * 30
+    assert s.scan(f"{digest}\n{one}\n{one}\nend")[4] == f"key:61:{61 + len(one)},key:{62 + len(one)}:{62 + 2 * len(one)}"

@@ -108,6 +108,55 @@ def is_token_header(part: str) -> bool:
     return isinstance(head, dict) and isinstance(head.get("alg"), str)
 
 
+def _key_sizes(data: bytes) -> list[int]:
+    """Bytes that a key at the start of ``data`` may take by its own lengths, longest first."""
+    if data[:1] == b"\x30":
+        size = data[1] & 0x7F if data[1:2] and data[1] & 0x80 else 0
+        return [2 + size + int.from_bytes(data[2 : 2 + size] if size else data[1:2], "big")] if size <= 4 else []
+    container = data.startswith(b"openssh-key-v1\0")
+    at, ends, left = 15 if container else 0, [], 3
+    while at + 4 <= len(data):
+        size = int.from_bytes(data[at : at + 4], "big")
+        if container and left == 0:
+            # After cipher, key derivation and its options: the number of public keys, which follow with the private part.
+            container, left, at, size = False, size + 1, at + 4, 0
+            continue
+        at, left = at + 4 + size, left - 1
+        ends.append(at)
+        if left == 0 and not container and data.startswith(b"openssh-key-v1\0"):
+            return [at]
+    return [] if data.startswith(b"openssh-key-v1\0") else ends[:0:-1]
+
+
+def _keys_in(run: str) -> list[tuple[int, int]]:
+    """``(start, end)`` of the keys that fill some whole lines of a base64 run, which as a whole is none."""
+    lines = [(m.start(), m.end()) for m in re.finditer(r"[^\r\n=]+", run)]
+    out, n = [], 0
+    while n < len(lines):
+        start, stop = lines[n]
+        n += 1
+        if stop - start < 40 or _HEAD.match(run, start) is None:
+            continue
+        ends, held = {}, 0
+        for i in range(n - 1, len(lines)):
+            held += lines[i][1] - lines[i][0]
+            ends[held] = i
+        # Four characters hold three bytes; what remains of the last four cannot be told from the next line's.
+        clean = re.sub(r"\s|=", "", run[start:])
+        for size in _key_sizes(_decoded(clean[: len(clean) // 4 * 4]) or b""):
+            last = ends.get(-(-size * 4 // 3))
+            data = _decoded(run[start : lines[last][1]]) if last is not None else None
+            if data and (is_der_key(data) or is_ssh_key(data)):
+                out.append((start, lines[last][1]))
+                n = last + 1
+                break
+    return out
+
+
+#: Base64 of what a key begins with: a SEQUENCE, a first field shorter than 256, or an OpenSSH container.
+_HEAD = re.compile("M[A-P]|AAAA|b3BlbnNza")
+
+
 def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     """Spans of candidates that decode to a signed token or a key."""
     out = []
@@ -127,6 +176,9 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
                 data = decode(m[0])
                 if data and (is_der_key(data) or is_ssh_key(data)):
                     out.append((m.start(), 4, m.end()))
+                elif pattern is _BASE64 and "\n" in m[0]:
+                    # The run may have taken in lines that follow or precede a key.
+                    out += [(m.start() + a, 4, m.start() + b) for a, b in _keys_in(m[0])]
     return out
 
 
