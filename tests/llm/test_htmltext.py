@@ -50,3 +50,17 @@ def test_table(spark):
     assert [r.n_chars for r in got] == [len(r.text) for r in got] and len(got) == 4
     assert got[3].n_chars == 200_000 * 5 - 1
     assert htmltext.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_long_runs_of_short_lines_between_good_paragraphs():
+    good = "This is the story of the man who was in the house that he had built for the people of the town, and it is as long as it needs to be for the rules to see that it is text of a page. " * 2
+    lines = [f"Line {i}" for i in range(400)]
+    page = f"<body><div>{good}</div>" + "".join(f"<div>{x}</div>" for x in lines) + f"<div>{good}</div>"
+    assert text(page).split("\n") == [good.strip(), *lines, good.strip()]
+
+
+def test_text_after_deep_nesting_keeps_its_place():
+    deep = "<div>" * 600 + "deep" + "</div>" * 600
+    assert text(f"<article><div>{deep}</div><p>after</p></article>") == "deep\nafter"
+    assert text(f"<body><div class=sidebar><div>{deep}</div>side text</div><div>body text</div></body>") == "body text"
+    assert text("<div>" * 200_000 + "deep" + "</div>" * 200_000) == "deep"

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -121,6 +122,9 @@ def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
     root = _Node("", False, False, False, 0)
     stack = [root]
+    # Places of the open elements by tag, and of the open blocks, so that no depth needs a search.
+    open_at: dict[str, list[int]] = defaultdict(lambda: [0])
+    block_at = [0]
     pieces: list[tuple[str, bool]] = []
     at = count = 0
 
@@ -139,9 +143,12 @@ def blocks_of(page: str) -> list[Block]:
             pieces.append((html.unescape(raw) if "&" in raw else raw, stack[-1].link))
 
     def close_to(depth: int) -> None:
-        if any(n.tag in BLOCKS for n in stack[depth:]):
+        if block_at[-1] >= depth:
             flush()
-        del stack[depth:]
+        while len(stack) > depth:
+            open_at[stack.pop().tag].pop()
+            if block_at[-1] == len(stack):
+                block_at.pop()
 
     while True:
         m = _MARK.search(page, at)
@@ -154,9 +161,9 @@ def blocks_of(page: str) -> list[Block]:
         if not tag:
             continue
         if m["close"] or m["close2"]:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
+            depth = open_at[tag][-1]
             # An inline or p end tag doesn't close a container around it.
-            if depth and (tag in BLOCKS - {"p"} or not any(n.tag in BLOCKS for n in stack[depth + 1 :])):
+            if depth and (tag in BLOCKS - {"p"} or block_at[-1] <= depth):
                 close_to(depth)
             elif tag in BLOCKS:
                 flush()
@@ -166,17 +173,13 @@ def blocks_of(page: str) -> list[Block]:
             pieces.append((" ", False))
             continue
         if tag in ENDS_P:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == "p" or stack[i].tag in BLOCKS), 0)
-            if depth and stack[depth].tag == "p":
-                close_to(depth)
+            if stack[block_at[-1]].tag == "p":
+                close_to(block_at[-1])
         if tag in SIBLINGS:
             same, bounds = SIBLINGS[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in bounds:
-                    break
-                if stack[i].tag in same:
-                    close_to(i)
-                    break
+            depth = max(open_at[t][-1] for t in same)
+            if depth > max(open_at[t][-1] for t in bounds):
+                close_to(depth)
         if tag in BLOCKS:
             flush()
         if tag in VOID or rest.endswith("/") and tag not in BLOCKS and tag not in RAW:
@@ -186,8 +189,10 @@ def blocks_of(page: str) -> list[Block]:
             at = end.end() if end else len(page)
             continue
         count += 1
-        if len(stack) < 512:
-            stack.append(_place(tag, rest, stack[-1], count))
+        open_at[tag].append(len(stack))
+        if tag in BLOCKS:
+            block_at.append(len(stack))
+        stack.append(_place(tag, rest, stack[-1], count))
     flush()
     return out
 
@@ -210,6 +215,19 @@ def _decide(b: Block, rules: BlockRules) -> str:
     return "near" if stops >= rules.stop_low else "bad"
 
 
+def _nearest(found: list[Block], step: int) -> list[int | None]:
+    """For each block the nearest decided one before it (step 1) or after it (-1) in an unbroken run of its region."""
+    out: list[int | None] = [None] * len(found)
+    last, region = None, None
+    for i in range(len(found))[::step]:
+        if found[i].region != region:
+            last, region = None, found[i].region
+        out[i] = last
+        if found[i].label in ("good", "bad"):
+            last = i
+    return out
+
+
 def main_blocks(page: str | None, rules: BlockRules = BlockRules()) -> list[str]:
     """Texts of the blocks of the article, in page order."""
     found = blocks_of(page or "")
@@ -218,20 +236,15 @@ def main_blocks(page: str | None, rules: BlockRules = BlockRules()) -> list[str]
     for b in found:
         b.label = _decide(b, rules)
     # Pass 2: by region, what is short or near-good takes the label of its neighbours.
+    sure = any(b.label in ("good", "bad") for b in found)
+    before, after = _nearest(found, 1), _nearest(found, -1)
     for i, b in enumerate(found):
         if b.label not in ("short", "near"):
             continue
-        near = []
-        for side in (range(i - 1, -1, -1), range(i + 1, len(found))):
-            for distance, j in enumerate(side):
-                if found[j].region != b.region or distance > 64:
-                    break
-                if found[j].label in ("good", "bad"):
-                    near.append((distance, found[j].label))
-                    break
+        near = [(abs(i - j), found[j].label) for j in (before[i], after[i]) if j is not None]
         labels = {x for _, x in near}
         if len(labels) == 2 and near[0][0] == near[1][0] or len(labels) != 1 and b.label == "near" or not near:
-            final = b.article or b.label == "near" or not any(x.label in ("good", "bad") for x in found)
+            final = b.article or b.label == "near" or not sure
         elif b.article:
             final = "good" in labels
         else:
