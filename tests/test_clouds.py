@@ -88,3 +88,12 @@ def test_settings_and_layouts(spark):
     assert validate_layout(cloud(spark, [(1, 2, 3)])) == ["x", "y", "z"]
     with pytest.raises(ValueError):
         validate_layout(cloud(spark, [(1, 2, 3)]).select("frame_id", "point_index", "z", "y", "x"))
+
+
+def test_radius_counts_of_vectors_are_not_capped(spark, tmp_path):
+    from voxelyard.plans import queries
+
+    rows = [(i, [0.01 * i if j == 0 else 0.0 for j in range(64)]) for i in range(40)] + [(60, [9.0] * 64), (80, [0.0, *[1.0], *[0.0] * 62])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.q_id: r.n for r in queries.radius_embeddings(spark, str(tmp_path)).collect()}
+    assert got == {0: 41, 20: 40, 60: 1, 80: 2}

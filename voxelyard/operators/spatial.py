@@ -93,6 +93,42 @@ def _block_search(rows: pd.DataFrame, k: int):
     return run
 
 
+def vector_radius_counts(queries: DataFrame, targets: DataFrame, radius: float, id_col: str, vector_col: str, block: int = 4096) -> DataFrame:
+    """``(q_id, n)``: how many targets lie within the radius of each query vector, bounds included; queries with none are absent.
+
+    Every target is compared, in blocks of queries as in ``nearest``; each partition answers with one count per query.
+    """
+    wanted = queries.select(F.col(id_col).alias("q_id"), F.col(vector_col).alias("v"))
+    held = targets.select(F.col(vector_col).alias("v"))
+    n = max(1, -(-wanted.count() // block))
+    found = held.sparkSession.createDataFrame([], "q_id long, n long")
+    for b in range(n):
+        rows = wanted.where(F.pmod(F.xxhash64("q_id"), F.lit(n)) == b).toPandas() if n > 1 else wanted.toPandas()
+        if len(rows):
+            found = found.union(held.mapInPandas(_block_counts(rows, radius * radius), "q_id long, n long"))
+    return found.groupBy("q_id").agg(F.sum("n").alias("n"))
+
+
+def _block_counts(rows: pd.DataFrame, most: float):
+    q, ids = np.stack(rows["v"].map(np.asarray)).astype(np.float64), rows["q_id"].to_numpy()
+
+    def run(batches):
+        n = np.zeros(len(q), np.int64)
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            t = np.stack(pdf["v"].map(np.asarray)).astype(np.float64)
+            for at in range(0, len(q), 256):
+                part = slice(at, at + 256)
+                d2 = np.zeros((len(q[part]), len(t)))
+                for j in range(q.shape[1]):
+                    d2 += (q[part, j][:, None] - t[None, :, j]) ** 2
+                n[part] += (d2 <= most).sum(axis=1)
+        yield pd.DataFrame({"q_id": ids[n > 0], "n": n[n > 0]})
+
+    return run
+
+
 def noise_labels(points: DataFrame, cfg: NoiseConfig = NoiseConfig()) -> DataFrame:
     """Add ``noise``: 1 where fewer than ``min_neighbours`` points, itself included, lie within a radius that grows with range."""
     radius = F.greatest(planar_range(F.col("x"), F.col("y")) * cfg.radius_multiplier_m_per_m, F.lit(cfg.min_radius_m))

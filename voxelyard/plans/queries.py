@@ -244,10 +244,9 @@ def knn_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def radius_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many of each query's nearest vectors lie within a squared distance (any dimension)."""
+    """How many vectors lie within a distance of each query (any dimension)."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
-    found = spatial.nearest(vectors.where("vec_id % 20 = 0"), vectors, NEAREST, "vec_id", "embedding")
-    return found.where("d2 <= 1.0D").groupBy("q_id").agg(F.count("*").alias("n"))
+    return spatial.vector_radius_counts(vectors.where("vec_id % 20 = 0"), vectors, 1.0, "vec_id", "embedding")
 
 
 @query
