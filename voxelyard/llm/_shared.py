@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,6 +16,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows and bytes of an Arrow batch between the JVM and a Python worker; with the session's own defaults, tens of MB of text are held several times over in each task.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864", "8388608")}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a task holds of texts: where the session has Spark's default batch sizes, it gets those of ``BATCH``; sizes that were set stay."""
+    for name, (usual, own) in BATCH.items():
+        if spark.conf.get(name, usual).rstrip("b") in (usual, own):
+            spark.conf.set(name, own)
+
+
+def release() -> None:
+    """Give freed memory back to the system; workers are used again and would keep their peak."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def released(run: Callable) -> Callable:
+    """A function over batches that gives its memory back at the end of its partition."""
+
+    @wraps(run)
+    def inner(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return inner
+
+
 def values_of(column, rows: int = 256) -> Iterator:
     """Python values of an Arrow column, converted in slices: few of a batch's texts are held twice at a time."""
     for at in range(0, len(column), rows):

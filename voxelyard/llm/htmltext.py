@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxelyard.llm._shared import released, small_batches, values_of
+
 #: Elements whose text is never shown, whose content is raw text, which break blocks, and which have no content.
 RAW = {"script", "style", "title", "textarea", "noscript", "iframe", "noembed", "noframes", "xmp"}
 BLOCKS = {
@@ -259,13 +261,14 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     Null or empty html gives an empty text; long pages are read whole; repeated rows are extracted alike; other columns are
     ignored; an empty table gives an empty result. Cut-off pages, unclosed elements and unbalanced quotes are tolerated.
     """
+    small_batches(pages.sparkSession)
     kinds = [pages.schema[c].dataType.simpleString() for c in (id_col, url_col)]
     picked = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = ["\n".join(main_blocks(x, rules)) for x in batch.column("html").to_pylist()]
+            texts = ["\n".join(main_blocks(x, rules)) for x in values_of(batch.column("html"))]
             sizes = pa.array(map(len, texts), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), sizes], ["page_id", "url", "text", "n_chars"])
 
-    return picked.mapInArrow(run, f"page_id {kinds[0]}, url {kinds[1]}, text string, n_chars long")
+    return picked.mapInArrow(released(run), f"page_id {kinds[0]}, url {kinds[1]}, text string, n_chars long")

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelyard.llm._shared import values_of, write_table
+from voxelyard.llm._shared import small_batches, values_of, write_table
 
 #: Sites from which a line is boilerplate, words that it must have, and precision of the sketches.
 MIN_SITES = 10
@@ -114,6 +114,7 @@ def drop_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     empty table gives an empty result. Up to ``sent_lines`` boilerplate lines are broadcast and cut beside each row, so
     that no text is shuffled; with more, line positions are joined to the documents.
     """
+    small_batches(docs.sparkSession)
     spread = write_table(line_spread(docs, id_col, text_col, site_col, min_sites, min_words), "boilerplate")
     if spread.limit(sent_lines + 1).count() <= sent_lines:
         return _cut_in_place(docs, spread, id_col, text_col)

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelyard.llm._shared import write_table
+from voxelyard.llm._shared import released, small_batches, write_table
 
 #: Text bytes after which a block is closed, and tokens that the traversal of one text handles in a lane.
 BLOCK_BYTES = 12 << 20
@@ -58,6 +58,7 @@ def _unpack(data: bytes, n: int, kind) -> np.ndarray:
 
 def make_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per block, written to the shared folder: document ids, token counts, token numbers and the block's words."""
+    small_batches(docs.sparkSession)
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -91,7 +92,7 @@ def make_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield flush()
 
     schema = f"block long, ids array<{kind}>, sizes array<long>, tokens binary, n_words long, n_bytes long, words binary"
-    return write_table(picked.mapInArrow(run, schema), "lm-blocks")
+    return write_table(picked.mapInArrow(released(run), schema), "lm-blocks")
 
 
 @dataclass
@@ -174,7 +175,7 @@ def _send_words(blocks: DataFrame, buckets: int) -> DataFrame:
                     if len(part):
                         yield _sent(b, row["block"], len(part), b"\n".join(names[i] for i in part.tolist()), counts[part])
 
-    return blocks.mapInArrow(run, SENT)
+    return blocks.mapInArrow(released(run), SENT)
 
 
 def _sent(bucket: int, block: int, n: int, keys: bytes, counts: np.ndarray) -> pa.RecordBatch:
@@ -198,7 +199,7 @@ def _send_pairs(blocks: DataFrame, buckets: int) -> DataFrame:
                     if cuts[b + 1] > cuts[b]:
                         yield _sent(b, row["block"], cuts[b + 1] - cuts[b], packed[at].tobytes(), counts[at])
 
-    return blocks.mapInArrow(run, SENT)
+    return blocks.mapInArrow(released(run), SENT)
 
 
 def _totals(table: pa.Table, codes: np.ndarray, n: int) -> tuple[np.ndarray, pa.Table]:
@@ -274,7 +275,7 @@ def gather(words: DataFrame, pairs: DataFrame) -> Corpus:
                     total += _unpack(data, size, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(range(size), pa.int64()), pa.array(total)], ["k", "v"])
 
-        rows = df.where("block = -1").select("totals").mapInArrow(run, "k long, v long").groupBy("k").agg(F.sum("v").alias("v")).collect()
+        rows = df.where("block = -1").select("totals").mapInArrow(released(run), "k long, v long").groupBy("k").agg(F.sum("v").alias("v")).collect()
         out = np.zeros(size, np.int64)
         for r in rows:
             out[r.k] = r.v

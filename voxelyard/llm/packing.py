@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelyard.llm._shared import values_of, write_table
+from voxelyard.llm._shared import released, small_batches, values_of, write_table
 
 WINDOW = 2048
 END_ID = 1
@@ -98,6 +98,7 @@ def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vo
     ids: 16-bit little-endian if every id of the vocabulary fits, else 32-bit, with the end id; before: ids of the partition that precede the
     document. Null text: the end id alone. Repeated rows are documents of their own.
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
@@ -117,7 +118,7 @@ def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vo
                 ["doc_id", "part", "before", "doc_tokens", "ids", "wide"],
             )
 
-    return write_table(picked.mapInArrow(run, f"doc_id {kind}, part int, before long, doc_tokens long, ids binary, wide boolean"), "tokens")
+    return write_table(picked.mapInArrow(released(run), f"doc_id {kind}, part int, before long, doc_tokens long, ids binary, wide boolean"), "tokens")
 
 
 def global_offsets(tokens: DataFrame) -> dict[int, int]:
@@ -156,7 +157,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
                     rows, ids_out, held = [], [], 0
             yield _pieces(rows, ids_out, batch.schema.field("doc_id").type, with_ids)
 
-    return tokens.select("doc_id", "part", "before", "doc_tokens", "ids", "wide").mapInArrow(run, text)
+    return tokens.select("doc_id", "part", "before", "doc_tokens", "ids", "wide").mapInArrow(released(run), text)
 
 
 def _pieces(rows: list[tuple], ids: list, id_type: pa.DataType, with_ids: bool) -> pa.RecordBatch:

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxelyard.llm._shared import released, small_batches, values_of
+
 #: Fixed patterns of the base kinds.
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -202,19 +204,20 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Sorted by start, then kind as in ``KINDS``. Null or empty texts have none; whole texts are scanned; repeated rows are scanned alike; other columns
     are ignored; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [scan(t) for t in batch.column("text").to_pylist()]
+            rows = [scan(t) for t in values_of(batch.column("text"))]
             a, c, h, base, every = zip(*rows, strict=True) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (a, c, h)), pa.array(base, pa.string()), pa.array(every, pa.string())],
                 ["doc_id", "n_assign", "n_access", "n_hex", "base_spans", "spans"],
             )
 
-    return picked.mapInArrow(run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_spans string, spans string")
+    return picked.mapInArrow(released(run), f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_spans string, spans string")
 
 
 def sha256_hex(text: str) -> str:

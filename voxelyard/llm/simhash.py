@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelyard.llm._shared import values_of, words_of, write_table
+from voxelyard.llm._shared import released, small_batches, values_of, words_of, write_table
 from voxelyard.operators.components import connected_components
 
 #: Members of one variant that are compared with each other in place; larger ones go to the two-sided variants.
@@ -73,6 +73,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     of the shingles' XXH64 values (seed 42). Fewer words than ``width``: the whole sequence is the one shingle; no word, an
     empty or a null text: zero. Other columns are ignored, whatever their names.
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
@@ -81,7 +82,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = _batch_fingerprints(values_of(batch.column("text")), batch.num_rows, width)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    return picked.mapInArrow(run, f"doc_id {kind.simpleString()}, fp long")
+    return picked.mapInArrow(released(run), f"doc_id {kind.simpleString()}, fp long")
 
 
 def _variants(fps: DataFrame) -> DataFrame:
@@ -163,7 +164,7 @@ def _two_sided(hot: DataFrame) -> DataFrame:
                     [pa.array(fp.view(np.int64)), pa.array(masked.view(np.int64)), pa.array(low * 64 + high)], ["fp", "rest", "bits"]
                 )
 
-    return hot.select("src", "key").mapInArrow(run, "fp long, rest long, bits int").distinct()
+    return hot.select("src", "key").mapInArrow(released(run), "fp long, rest long, bits int").distinct()
 
 
 def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

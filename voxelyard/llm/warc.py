@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelyard.llm._shared import RangeReader, new_path, opened_for_writing, write_table
+from voxelyard.llm._shared import RangeReader, new_path, opened_for_writing, released, small_batches, write_table
 
 CAPTURE = "surt string, page_id {id}, url string, archive string, offset long, length long, record_type string"
 RECORD = "page_id {id}, url string, payload_bytes long, payload_digest string, record_type string, refers_to {id}, payload binary"
@@ -87,6 +87,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     repeated rows (same id and payload) the first is the response and the rest revisit it. A null id sorts last. Other columns are
     ignored. A task that fails or runs twice leaves an archive that no capture names.
     """
+    small_batches(pages.sparkSession)
     spark, kind = pages.sparkSession, pages.schema[id_col].dataType.simpleString()
     folder = new_path(spark, "archives")
     rows = pages.select(
@@ -122,7 +123,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
 
     text = CAPTURE.format(id=kind)
     capture = _arrow(spark, text)
-    return write_table(joined.mapInArrow(run, text), "captures")
+    return write_table(joined.mapInArrow(released(run), text), "captures")
 
 
 def _arrow(spark: SparkSession, text: str) -> pa.Schema:
@@ -175,7 +176,7 @@ def build_index(captures: DataFrame, block_lines: int = BLOCK_LINES) -> DataFram
             yield _batch([(first, last, f"{base}.directory", len(directory), total)], shard)
 
     shard = _arrow(spark, SHARD)
-    return write_table(ordered.mapInArrow(run, SHARD), "shards")
+    return write_table(ordered.mapInArrow(released(run), SHARD), "shards")
 
 
 def candidate_blocks(directory: list, key: str) -> range:
@@ -267,7 +268,7 @@ def read_records(captures: DataFrame, with_payload: bool = True) -> DataFrame:
             yield _batch(rows, schema)
 
     placed = captures.repartition(n, "archive", F.floor(F.col("offset") / STRETCH)).sortWithinPartitions("archive", "offset")
-    return placed.select("page_id", "url", "archive", "offset", "length").mapInArrow(run, text)
+    return placed.select("page_id", "url", "archive", "offset", "length").mapInArrow(released(run), text)
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", with_payload: bool = False) -> DataFrame:
