@@ -79,9 +79,34 @@ def test_ordered_and_simultaneous_votes_agree_on_lone_conflicts(spark):
 def test_components_of_a_long_path(spark):
     edges = spark.range(200).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
     assert {r.component for r in connected_components(edges).collect()} == {0}
+    assert {r.component for r in connected_components(edges, task_edges=0).collect()} == {0}
     assert connected_components(edges.limit(0)).count() == 0
 
 
+def test_components_of_random_graphs_in_one_task_and_by_rounds(spark):
+    import random
+
+    rng = random.Random(4)
+    pairs = [(rng.randrange(-300, 300), rng.randrange(-300, 300)) for _ in range(250)] + [(5, 5), (7, None)]
+    parent = {x: x for p in pairs for x in p if x is not None}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        if b is not None:
+            low, high = sorted((root(a), root(b)))
+            parent[high] = low
+    linked = {x for a, b in pairs if b is not None and a != b for x in (a, b)}
+    edges = spark.createDataFrame(pairs, "src long, dst long").repartition(5)
+    for most in (1 << 20, 0):
+        assert {r.node: r.component for r in connected_components(edges, task_edges=most).collect()} == {x: root(x) for x in linked}
+    named = edges.where("dst is not null").select(F.concat(F.lit("n"), F.format_string("%04d", F.col("src") + 300)).alias("src"), F.concat(F.lit("n"), F.format_string("%04d", F.col("dst") + 300)).alias("dst"))
+    assert {r.node: r.component for r in connected_components(named).collect()} == {f"n{x + 300:04d}": f"n{root(x) + 300:04d}" for x in linked}
+
+
 def test_settings_and_layouts(spark):
     cfg = from_text(SegmenterConfig, "a:\n  image_width: 1024  # px\n  assume_unorganized_cloud: true\n")
     assert cfg.image_width == 1024 and cfg.assume_unorganized_cloud and cfg.rings == 50 and cfg.slices == 360
