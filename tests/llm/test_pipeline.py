@@ -2,23 +2,21 @@ import corpus_pipeline
 from tests.llm.data import SF
 from tests.llm.test_decontam import brute as leaks
 from tests.llm.test_linededup import brute as lines
-from tests.llm.test_simhash import brute_components, brute_fingerprint
+from tests.llm.test_neardup import brute as copies
 from voxelyard.llm import linededup, quality
 
 
 def test_stages_against_brute_force(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    labels, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("labels", "benchmark"))
+    """Near copies: five-word shingles, similarity 0.8 (the contract of stages on word shingles)."""
+    docs, labels, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels", "benchmark"))
     left = {r.doc_id for r in quality.judge_quality(docs, labels).where("kept").collect()}
     rows = [(r.doc_id, r.text, r.source) for r in docs.collect() if r.doc_id in left]
-    cleaned = [eval(x) for x in lines(rows, linededup.MIN_SITES, linededup.MIN_WORDS)]
-    cleaned = [(d, t) for d, t in cleaned if t.strip(" ")]
-    kept = {int(c) for _, _, c in brute_components([(d, brute_fingerprint(t)) for d, t in cleaned])}
+    cleaned = [(d, t) for d, t in map(eval, lines(rows, linededup.MIN_SITES, linededup.MIN_WORDS)) if t.strip(" ")]
+    kept = {int(c) for _, c in copies(cleaned)}
     texts = [(d, t) for d, t in cleaned if d in kept]
     bad = {d for d, _ in leaks(texts, [(r.item_id, r.text) for r in items.collect()])}
-    want = sorted(d for d, _ in texts if d not in bad)
     pieces = corpus_pipeline.run(spark, SF).collect()
-    assert sorted({p.doc_id for p in pieces}) == want
+    assert sorted({p.doc_id for p in pieces}) == sorted(d for d, _ in texts if d not in bad)
     assert sum(p.length for p in pieces) == sum({p.doc_id: p.doc_tokens for p in pieces}.values())
 
 
