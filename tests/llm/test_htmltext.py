@@ -64,3 +64,106 @@ def test_text_after_deep_nesting_keeps_its_place():
     assert text(f"<article><div>{deep}</div><p>after</p></article>") == "deep\nafter"
     assert text(f"<body><div class=sidebar><div>{deep}</div>side text</div><div>body text</div></body>") == "body text"
     assert text("<div>" * 200_000 + "deep" + "</div>" * 200_000) == "deep"
+
+
+GOOD = "This is the story of the man who was in the house that he had built for the people of the town, and it is as long as it needs to be. " * 2
+THIN = "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega. " * 2
+
+
+def rules(page):
+    from collections import Counter
+
+    return Counter((b.rule, b.label) for b in htmltext.judged_blocks(page))
+
+
+def test_density_decides_every_visible_block():
+    page = f"<body><nav><a href=x>Menu</a></nav><article><h1>Head</h1><p>{GOOD}</p><p>{THIN}</p><p>{GOOD}</p></article><div>{THIN}</div></body>"
+    assert text(page) == f"Head\n{GOOD.strip()}\n{THIN.strip()}\n{GOOD.strip()}"
+    assert rules(page) == {("hint", "bad"): 1, ("neighbours", "good"): 2, ("stop words", "good"): 2, ("landmark", "bad"): 1}
+    bare = page.replace("<article>", "").replace("</article>", "")
+    assert rules(bare)["stop words", "bad"] == 2 and text(bare) == f"Head\n{GOOD.strip()}\n{GOOD.strip()}"
+
+
+def test_driver_pages_without_their_landmarks(spark):
+    import re
+
+    same = total = 0
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        total += 1
+        same += text(r.html) == text(re.sub(r"</?(article|main)\b[^>]*>", "", r.html))
+    assert same >= 0.85 * total
+
+
+def test_teasers_in_articles_are_not_the_page():
+    cards = "".join(f"<article><h2>Card {i}</h2><p>Short.</p></article>" for i in range(4))
+    assert text(f"<body><div><h1>Title</h1><p>{GOOD}</p><p>{GOOD}</p></div>{cards}</body>").startswith(f"Title\n{GOOD.strip()}\n{GOOD.strip()}")
+
+
+def test_names_of_containers_are_not_final():
+    inner = f"<h1>Title</h1><p>{GOOD}</p><div class=ad><p>{GOOD}</p></div><p>{GOOD}</p>"
+    for page in (f'<body><div class="content with-sidebar">{inner}</div></body>', f'<body><div class="page no-ads"><main>{inner}</main></div></body>'):
+        assert text(page) == f"Title\n{GOOD.strip()}\n{GOOD.strip()}"
+    talk = "".join(f"<p>{GOOD}</p>" for _ in range(9))
+    page = f'<body><article><h1>Title</h1><p>{GOOD}</p></article><section id=comments>{talk}</section></body>'
+    assert text(page) == f"Title\n{GOOD.strip()}"
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    for page in ("<a \"", "<a '\">", "<!--", "<div class=ad>", "<p>x</div>", "<a \" '>", "</"):
+        start = time.time()
+        text(page * 20_000)
+        text(page * 20_000 + ">")
+        assert time.time() - start < 5
+
+
+def blocks_brute(page):
+    """Pass 1 of the text alone, for pages of plain paragraphs."""
+    import re
+
+    out = []
+    for raw in re.findall(r"<p>(.*?)</p>", page, re.S):
+        linked = sum(len("".join(x.split())) for x in re.findall(r"<a>(.*?)</a>", raw))
+        plain = " ".join(re.sub("<[^>]+>", "", raw).split())
+        words = re.findall(r"[a-z]+", plain.lower())
+        stops = sum(w in htmltext.STOP_WORDS for w in words) / max(1, len(words))
+        if linked > 0.5 * len(plain.replace(" ", "")) or len(plain) < 70 and linked:
+            out.append("bad")
+        elif len(plain) < 70:
+            out.append("short")
+        else:
+            out.append("bad" if stops < 0.10 else "near" if stops < 0.20 or len(plain) <= 140 else "good")
+    return out
+
+
+def test_two_passes_against_brute_force():
+    import random
+
+    rng = random.Random(9)
+    for _ in range(200):
+        parts = []
+        for _ in range(rng.randrange(1, 30)):
+            share = rng.choice([0.05, 0.15, 0.4])
+            words = [rng.choice(["the", "and", "of"]) if rng.random() < share else rng.choice(["alpha", "kappa", "omicron", "lambda"]) for _ in range(rng.choice([3, 14, 40]))]
+            links = rng.choice([0, 0, 0, len(words) // 4, len(words)])
+            parts.append("<p>" + " ".join(f"<a>{w}</a>" if i < links else w for i, w in enumerate(words)) + "</p>")
+        first = blocks_brute("".join(parts))
+        if not {"good", "near"} & set(first):
+            continue
+        want = []
+        for i, own in enumerate(first):
+            left = next((i - j for j in range(i - 1, -1, -1) if first[j] in ("good", "bad")), None)
+            right = next((j - i for j in range(i + 1, len(first)) if first[j] in ("good", "bad")), None)
+            told = {d: first[i - left] if d == "l" else first[i + right] for d, gap in (("l", left), ("r", right)) if gap is not None}
+            if own in ("good", "bad"):
+                want.append(own == "good")
+            elif not told:
+                want.append(own == "near" or not {"good", "bad"} & set(first))
+            elif len(set(told.values())) == 1:
+                want.append("good" in told.values())
+            elif own == "near":
+                want.append(True)
+            else:
+                want.append(left != right and told["l" if left < right else "r"] == "good")
+        assert [b.label == "good" for b in htmltext.judged_blocks("".join(parts))] == want

@@ -61,3 +61,18 @@ def test_edges(spark):
     assert out.columns == [*docs.columns, "removed_lines"]
     assert sorted(map(str, out.drop("removed_lines").collect())) == sorted(map(str, docs.collect()))
     assert d.drop_boilerplate(empty_docs(spark)).count() == 0
+
+
+def test_repeated_ids_and_clashing_names_in_both_ways(spark):
+    """Rows that share an id, or have none, lose their own lines alone; a column of the result's name gives way."""
+    shared = [f"line number {k} on many sites" for k in range(3)]
+    rows = [(i, "\n".join([*shared, f"own words of {i} here"]), f"s{i}", 7, "a", "b") for i in range(20)]
+    rows += [(3, "own words of 3 here\n" + shared[1], "x", 7, "a", "b"), (None, shared[0] + "\nkept line of this one", "y", 7, "a", "b"), (None, "other\n\n" + shared[2], "y", 7, "a", "b")] * 2
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, removed_lines int, __cut string, `a.b` string")
+    want = brute([r[:3] for r in rows], 5, d.MIN_WORDS)
+    for sent in (d.SENT_LINES, 0):
+        out = d.drop_boilerplate(frame, min_sites=5, sent_lines=sent)
+        assert out.columns == ["doc_id", "text", "source", "__cut", "a.b", "removed_lines"]
+        got = out.collect()
+        assert sorted(str((r.doc_id, r.text)) for r in got) == want
+        assert sum(r.removed_lines for r in got) == 57 + 2 + 4

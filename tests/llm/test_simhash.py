@@ -105,3 +105,15 @@ def test_one_of_each_group_stays(spark):
     want = {c for d, _, c in brute_components([(r.doc_id, brute_fingerprint(r.text)) for r in docs.where("doc_id is not null").collect()])}
     assert set(ids) >= want - {"None"} and "None" in ids
     assert len([x for x in ids if x != "None"]) == len(want)
+
+
+def test_long_texts_by_slices(monkeypatch):
+    import random
+
+    monkeypatch.setattr(simhash, "SLICE", 5)
+    monkeypatch.setattr(simhash, "LONG_TEXT", 0)
+    rng = random.Random(2)
+    for n in [*range(1, 14), 50, 333]:
+        text = " ".join(f"W{rng.randrange(9)}\u00e9" for _ in range(n)) + "\n"
+        assert simhash.fingerprint(text) == brute_fingerprint(text)
+    assert simhash.fingerprint("  \t") == 0

@@ -23,10 +23,13 @@ URLS = [
 def test_against_brute_force(spark):
     rows = [(i, x, "h", 1) for i, x in enumerate(URLS + URLS)] + [(1000 + i, f"http://h{i}.{'spam-farm' if i % 7 == 0 else 'fine'}.io/{i}", "h", 1) for i in range(3000)]
     frame = spark.createDataFrame(rows, "page_id long, url string, host string, rule int")
-    for bits in (u.MAX_BITS, 64):
+    for bits in (u.MAX_BITS, 2048):  # one cascade and several
         got = {r.page_id: tuple(r)[1:] for r in u.judge_urls(frame, u.listed_host(), max_bits=bits).collect()}
         assert got == {i: brute(x) for i, x, *_ in rows}
     assert u.judge_urls(frame.limit(0), u.listed_host()).count() == 0
+    hosts = frame.select(u.host_of(F.col("url")).alias("key")).where(u.listed_host()).union(spark.createDataFrame([(None,), ("not.there",)], "key string"))
+    got = {r.page_id: tuple(r)[1:] for r in u.judge_urls(frame, hosts).collect()}
+    assert got == {i: brute(x) for i, x, *_ in rows}
 
 
 def test_cascade_has_levels_and_is_exact(spark):

@@ -51,7 +51,7 @@ def test_hot_key_spans_blocks(spark):
 
 
 def test_blocks_of_a_key():
-    directory = [["a"], ["c"], ["c"], ["e"]]
+    directory = ["a", "c", "c", "e"]
     assert list(warc.candidate_blocks(directory, "c")) == [0, 1, 2]
     assert list(warc.candidate_blocks(directory, "b")) == [0]
     assert list(warc.candidate_blocks(directory, "z")) == [3]
@@ -60,3 +60,34 @@ def test_blocks_of_a_key():
 def test_small_payloads_stay_responses(spark):
     rows = [(1, "http://a.b/", "x", None, 1), (2, "http://a.c/", "x", None, 1)]
     assert {r.record_type for r in warc.write_archives(pages(spark, rows), min_payload=2).collect()} == {"response"}
+
+
+def test_archives_are_plain_warc(spark):
+    import glob
+    import gzip
+
+    rows = [(1, "http://a.b/\u00e9 x\ny", "same", None, 1), (2, None, "same", None, 1), (2, None, "same", None, 1), (3, "no scheme", "own", None, 1)]
+    captures = warc.write_archives(pages(spark, rows)).collect()
+    ids, told = [], []
+    for name in {c.archive for c in captures}:
+        raw = gzip.open(glob.glob(name.removeprefix("file://"))[0]).read()
+        kinds = []
+        while raw:
+            head, _, rest = raw.partition(b"\r\n\r\n")
+            lines = head.decode("ascii").split("\r\n")
+            fields = dict(x.split(": ", 1) for x in lines[1:])
+            assert lines[0] == "WARC/1.1" and rest[int(fields["Content-Length"]) :][:4] == b"\r\n\r\n"
+            kinds.append(fields["WARC-Type"]), ids.append(fields["WARC-Record-ID"])
+            told += [fields["WARC-Refers-To"]] if "WARC-Refers-To" in fields else []
+            if kinds[-1] != "warcinfo":
+                assert ":" in fields["WARC-Target-URI"] and not set(" \n") & set(fields["WARC-Target-URI"])
+            raw = rest[int(fields["Content-Length"]) + 4 :]
+        assert kinds[0] == "warcinfo" and "warcinfo" not in kinds[1:]
+    assert len(ids) == len(set(ids)) and len(told) == 2 and set(told) <= set(ids)
+
+
+def test_one_response_among_repeated_rows(spark):
+    rows = [(i % 3, f"http://a.b/{i % 2}", "same", None, 1) for i in range(60)]
+    got = warc.round_trip(pages(spark, rows).repartition(7)).collect()
+    assert sorted(r.record_type for r in got) == ["response", *["revisit"] * 59]
+    assert {r.page_id for r in got if r.record_type == "response"} == {0} and {r.refers_to for r in got if r.record_type == "revisit"} == {0}

@@ -27,6 +27,11 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(name, own)
 
 
+def partitions_for(spark: SparkSession, size: int | None, each: int = 64 << 20) -> int:
+    """Partitions for so many bytes: as many as keep each within bounds, and at least the session's number."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size or 0) // each))
+
+
 def release() -> None:
     """Give freed memory back to the system; workers are used again and would keep their peak."""
     import pyarrow as pa

@@ -1,7 +1,8 @@
 """Main text of web pages by two-pass block rules.
 
-A tolerant tokenizer cuts the page into blocks of text. Pass 1 judges each block by its place (landmarks such as nav, aside or
-an advert's class), link density, length and stop-word density. Pass 2 gives blocks that are too short to judge the label
+A tolerant tokenizer cuts the page into blocks of text. Pass 1 judges every visible block by link density, length and stop-word
+density; where the dense text lies then tells which places to believe: a landmark (article, main) that holds half of it lifts its blocks by a
+class, and a container named like a sidebar that holds the page's text is none. Pass 2 gives blocks that are too short or too thin to judge the label
 of the nearest decided neighbours in the same region.
 """
 
@@ -29,15 +30,17 @@ BLOCKS = {
 }
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Elements outside the article wherever they stand.
-ASIDE = {"nav", "aside", "footer", "form", "button", "select", "dialog", "menu", "template", "svg", "math", "object", "canvas", "audio", "video", "head", "search", "fieldset"}
+ASIDE = {"nav", "aside", "footer", "form", "dialog", "menu", "search", "fieldset"}
+#: Elements without prose of their own.
+UNSEEN = {"button", "select", "template", "svg", "math", "object", "canvas", "audio", "video", "head"}
 #: Words of class and id names, and roles, of what is not the article.
 NAMES = set(
     "ad ads adbox advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent "
-    "disclaimer disqus dropdown footer gdpr hidden login masthead menu modal nav navbar navigation newsletter notice overlay pager pagination "
+    "disclaimer disqus dropdown footer gdpr login masthead menu modal nav navbar navigation newsletter notice overlay pager pagination "
     "popup promo promoted promotion recommended related replies reply respond share sharing sidebar signup skip social sponsor sponsored "
     "subscribe subscription teaser teasers toolbar topbar widget widgets".split()
 )
-REMARKS = {"comment", "comments", "commentlist", "disqus", "replies", "reply", "respond", "related", "teaser", "teasers", "recommended", "hidden"}
+REMARKS = {"comment", "comments", "commentlist", "disqus", "replies", "reply", "respond", "related", "teaser", "teasers", "recommended"}
 ADVERTS = {"ad", "ads", "advert", "advertisement", "promo", "promoted", "sponsor", "sponsored"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form", "toolbar"}
 #: Opening one of these ends an open p.
@@ -63,66 +66,91 @@ class BlockRules:
     """Thresholds: lengths in characters; densities as shares."""
 
     short: int = 70
-    long: int = 200
-    stop_low: float = 0.30
-    stop_high: float = 0.32
+    long: int = 140
+    stop_low: float = 0.10
+    stop_high: float = 0.20
     link_high: float = 0.5
 
 
 @dataclass
 class Block:
+    """A visible block: characters in links, the innermost hint around it (0: none), whether a landmark holds it, its region, and what was decided by which rule."""
+
     text: str
     links: int
-    outside: bool
+    hint: int
     article: bool
     region: int
     label: str = ""
+    rule: str = ""
+
+
+@dataclass
+class Hint:
+    """An element that by its tag, role or names is not the article. Only names can be wrong: ``named`` tells that nothing else speaks against it."""
+
+    parent: int
+    named: bool
+    heads: bool = False
+    dense: int = 0
 
 
 @dataclass
 class _Node:
     tag: str
-    outside: bool
+    hint: int
     remark: bool
     article: bool
     region: int
     link: bool = field(default=False)
+    shut: bool = field(default=False)
 
 
 _MARK = re.compile(
     r"<!--(?:>|->)|<!--(?P<comment>.*?)(?:--!?>|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(?P<close2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*)>|<[!?/][^>]*+(?:>|\Z)|<[a-zA-Z][^<]*\Z",
     re.S,
 )
+#: A tag that the end of the page cuts off.
+_CUT_OFF = re.compile(r"<(?:[a-zA-Z/?]|!(?!--))[^<]*\Z|<!--.*\Z", re.S)
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def _place(tag: str, rest: str, parent: _Node, count: int) -> _Node:
-    """The state within an element: whether it is outside the article, and which region it belongs to."""
-    named = remark = advert = False
+def _place(tag: str, rest: str, parent: _Node, count: int, hints: list[Hint]) -> _Node:
+    """The state within an element: the hint and the landmark that hold it, its region, and whether it is shown."""
+    named = remark = advert = role = False
+    shut = parent.shut or tag in UNSEEN
     if rest and not rest.isspace():
         got = {m[1].lower(): next((x for x in m.groups()[1:] if x is not None), "") for m in _ATTR.finditer(rest)}
         parts = set(re.split(r"[^a-z0-9]+", html.unescape(got.get("class", "") + " " + got.get("id", "")).lower()))
-        shut = "hidden" in got or got.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", got.get("style", ""), re.I) is not None
-        named = bool(parts & NAMES) or got.get("role", "").lower() in ROLES or shut
-        remark, advert = bool(parts & REMARKS) or shut, bool(parts & ADVERTS)
-    main = tag in ("article", "main")
+        shut = shut or "hidden" in got or "hidden" in parts or got.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", got.get("style", ""), re.I) is not None
+        role = got.get("role", "").lower() in ROLES
+        named, remark, advert = bool(parts & NAMES), bool(parts & REMARKS), bool(parts & ADVERTS)
     if tag in ("html", "body"):
-        named = remark = False
-    if main:
+        named = remark = advert = role = False
+
+    def hinted(told: bool, by_name: bool) -> int:
+        if not told:
+            return parent.hint
+        hints.append(Hint(parent.hint, by_name))
+        return len(hints) - 1
+
+    if tag in ("article", "main"):
         # A landmark of its own: a wrapper left open before it doesn't swallow it, a comment or a teaser does.
-        shut = remark or advert or parent.remark
-        return _Node(tag, shut, shut, not shut, count)
-    banner = tag == "header" and not parent.article
-    outside = parent.outside or named or banner or tag in ASIDE
-    remark = parent.remark or remark or tag in ("aside", "form", "nav", "footer", "dialog", "template")
-    return _Node(tag, outside, remark, parent.article, count if tag == "section" and not parent.article else parent.region, parent.link or tag == "a")
+        part = remark or advert or parent.remark
+        return _Node(tag, hinted(remark or advert, False) if part else 0, part, not part, count, parent.link, shut)
+    firm = role or tag in ASIDE or tag == "header" and not parent.article
+    below = parent.remark or remark or tag in ("aside", "form", "nav", "footer", "dialog")
+    region = count if tag == "section" and not parent.article else parent.region
+    return _Node(tag, hinted(firm or named, not firm), below, parent.article, region, parent.link or tag == "a", shut)
 
 
-def blocks_of(page: str) -> list[Block]:
-    """Text blocks in page order; references decoded, white space within a block one space."""
+def blocks_of(page: str) -> tuple[list[Block], list[Hint]]:
+    """Visible text blocks in page order, references decoded, white space within a block one space; and the hints around them (the first is none)."""
     out: list[Block] = []
-    root = _Node("", False, False, False, 0)
+    hints = [Hint(0, False)]
+    root = _Node("", 0, False, False, 0)
+    closed = page.rfind(">")  # no tag ends beyond it
     stack = [root]
     # Places of the open elements by tag, and of the open blocks, so that no depth needs a search.
     open_at: dict[str, list[int]] = defaultdict(lambda: [0])
@@ -134,10 +162,10 @@ def blocks_of(page: str) -> list[Block]:
         if not pieces:
             return
         text = " ".join("".join(t for t, _ in pieces).split())
-        if text:
-            top = stack[-1]
+        top = stack[-1]
+        if text and not top.shut:
             links = sum(len("".join(t.split())) for t, linked in pieces if linked)
-            out.append(Block(text, links, top.outside, top.article, top.region))
+            out.append(Block(text, links, top.hint, top.article, top.region))
         pieces.clear()
 
     def add(raw: str) -> None:
@@ -153,12 +181,16 @@ def blocks_of(page: str) -> list[Block]:
                 block_at.pop()
 
     while True:
-        m = _MARK.search(page, at)
+        # Up to the last ">" every tag ends somewhere, so that no search for one runs over the page in vain.
+        m = _MARK.search(page, at, closed + 1) if at <= closed else None
         if m is None:
-            add(page[at:])
+            cut = _CUT_OFF.search(page, at)
+            add(page[at : cut.start()] if cut else page[at:])
             break
         add(page[at : m.start()])
         at = m.end()
+        if m["comment"] is not None and at == closed + 1 and not m[0].endswith(("-->", "--!>")):
+            break  # a comment without an end
         tag = (m["tag"] or m["tag2"] or "").lower()
         if not tag:
             continue
@@ -194,27 +226,65 @@ def blocks_of(page: str) -> list[Block]:
         open_at[tag].append(len(stack))
         if tag in BLOCKS:
             block_at.append(len(stack))
-        stack.append(_place(tag, rest, stack[-1], count))
+        stack.append(_place(tag, rest, stack[-1], count, hints))
+        if tag in ("h1", "article", "main"):
+            hints[stack[-2].hint].heads = True
     flush()
-    return out
+    return out, hints
 
 
-def _decide(b: Block, rules: BlockRules) -> str:
-    """Pass 1: good, bad or short (undecided)."""
-    if b.outside:
-        return "outside"
+def _decide(b: Block, rules: BlockRules) -> tuple[str, str]:
+    """Pass 1, of the text alone: good, near, short or bad, and the rule that tells."""
     size = len(b.text)
     if b.links > rules.link_high * max(1, len(b.text.replace(" ", ""))):
-        return "bad"
+        return "bad", "links"
     if size < rules.short:
-        return "bad" if b.links and not b.article else "short"
-    if b.article:
-        return "good"
+        return ("bad", "links") if b.links and not b.article else ("short", "length")
     words = _WORD.findall(b.text.lower())
     stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
     if stops >= rules.stop_high:
-        return "good" if size > rules.long else "near"
-    return "near" if stops >= rules.stop_low else "bad"
+        return ("good" if size > rules.long or b.article else "near"), "stop words"
+    return ("near" if stops >= rules.stop_low else "bad"), "stop words"
+
+
+def _outside(found: list[Block], hints: list[Hint]) -> list[bool]:
+    """By hint whether it is to be believed: not if names alone tell it and the element has the page's heading or landmark, or all dense text, and over half of the dense text."""
+    for b in found:
+        if b.label == "good":
+            hints[b.hint].dense += len(b.text)
+    for h in reversed(hints[1:]):  # an element comes after those around it
+        if h.parent:
+            hints[h.parent].dense += h.dense
+            hints[h.parent].heads |= h.heads
+    total = sum(len(b.text) for b in found if b.label == "good")
+    out = [False]
+    for h in hints[1:]:
+        void = h.named and 2 * h.dense > total and (h.heads or h.dense == total)
+        out.append(out[h.parent] or not void)
+    return out
+
+
+def _settle(found: list[Block], outside: list[bool]) -> list[Block]:
+    """The blocks that pass 2 looks at: none under a hint; if landmarks hold half of the dense text or no place does, theirs alone, each a class higher."""
+    for b in found:
+        if outside[b.hint]:
+            b.label, b.rule = "bad", "hint"
+    open_ = [b for b in found if b.rule != "hint"]
+    if not any(b.label in ("good", "near") for b in open_):
+        # No known language: length and links alone speak for a block.
+        for b in open_:
+            if b.rule == "stop words":
+                b.label = "near"
+    dense = sum(len(b.text) for b in open_ if b.label == "good")
+    inside = [b for b in open_ if b.article]
+    if not inside or 2 * sum(len(b.text) for b in inside if b.label == "good") < dense:
+        return open_
+    for b in open_:
+        if not b.article:
+            b.label, b.rule = "bad", "landmark"
+        elif b.rule == "stop words" and b.label != "good":
+            b.label, b.rule = {"near": "good", "bad": "near"}[b.label], "landmark"
+    return inside
 
 
 def _nearest(found: list[Block], step: int) -> list[int | None]:
@@ -230,36 +300,42 @@ def _nearest(found: list[Block], step: int) -> list[int | None]:
     return out
 
 
-def main_blocks(page: str | None, rules: BlockRules = BlockRules()) -> list[str]:
-    """Texts of the blocks of the article, in page order."""
-    found = blocks_of(page or "")
-    inside = [b for b in found if b.article and not b.outside]
-    found = inside or [b for b in found if not b.outside]
-    for b in found:
-        b.label = _decide(b, rules)
+def judged_blocks(page: str | None, rules: BlockRules = BlockRules()) -> list[Block]:
+    """All visible blocks in page order; ``label`` good or bad and the ``rule`` that decided: links, stop words, hint, landmark or neighbours."""
+    blocks, hints = blocks_of(page or "")
+    for b in blocks:
+        b.label, b.rule = _decide(b, rules)
+    found = _settle(blocks, _outside(blocks, hints))
     # Pass 2: by region, what is short or near-good takes the label of its neighbours.
     sure = any(b.label in ("good", "bad") for b in found)
     before, after = _nearest(found, 1), _nearest(found, -1)
+    final = {}
     for i, b in enumerate(found):
         if b.label not in ("short", "near"):
             continue
         near = [(abs(i - j), found[j].label) for j in (before[i], after[i]) if j is not None]
         labels = {x for _, x in near}
         if len(labels) == 2 and near[0][0] == near[1][0] or len(labels) != 1 and b.label == "near" or not near:
-            final = b.article or b.label == "near" or not sure
+            final[i] = b.article or b.label == "near" or not sure
         elif b.article:
-            final = "good" in labels
+            final[i] = "good" in labels
         else:
-            final = min(near)[1] == "good"
-        b.links = -1 if final else -2
-    return [b.text for b in found if b.label == "good" or b.links == -1]
+            final[i] = min(near)[1] == "good"
+    for i, good in final.items():
+        found[i].label, found[i].rule = "good" if good else "bad", "neighbours"
+    return blocks
+
+
+def main_blocks(page: str | None, rules: BlockRules = BlockRules()) -> list[str]:
+    """Texts of the blocks of the article, in page order."""
+    return [b.text for b in judged_blocks(page, rules) if b.label == "good"]
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules: BlockRules = BlockRules()) -> DataFrame:
     """``(page_id, url, text, n_chars)`` per row: the blocks of the article joined by newlines, and their code points.
 
     Null or empty html gives an empty text; long pages are read whole; repeated rows are extracted alike; other columns are
-    ignored; an empty table gives an empty result. Cut-off pages, unclosed elements and unbalanced quotes are tolerated.
+    ignored, whatever their names; an empty table gives an empty result. Cut-off pages, unclosed elements and unbalanced quotes are tolerated.
     """
     small_batches(pages.sparkSession)
     kinds = [pages.schema[c].dataType.simpleString() for c in (id_col, url_col)]

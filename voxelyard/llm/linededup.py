@@ -25,18 +25,27 @@ SPACES = " \t\n\x0b\x0c\r"
 SENT_LINES = 100_000
 
 
+#: What a row's positions go by: rows alike in id and text lose the same lines.
+ROW = ["doc_id", "t1", "t2"]
+
+
 def _lines(docs: DataFrame, id_col: str, text_col: str, site_col: str, min_words: int) -> DataFrame:
-    """One row per line of at least ``min_words`` words: id, position, the trimmed line's 128-bit hash, site."""
-    split = docs.select(F.col(id_col).alias("doc_id"), F.col(site_col).alias("site"), F.posexplode(F.split(text_col, "\n")).alias("pos", "raw"))
+    """One row per line of at least ``min_words`` words: id, the whole text's 128-bit hash, position, the trimmed line's 128-bit hash, site."""
+    text = F.col(text_col)
+    split = docs.select(F.col(id_col).alias("doc_id"), *_text_key(text), F.col(site_col).alias("site"), F.posexplode(F.split(text, "\n")).alias("pos", "raw"))
     # A trimmed line ends in a word, so only the words before it need matching; the pattern stops at the last one asked for.
     long_enough = F.col("line").rlike(rf"^(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){{{max(0, min_words - 1)}}}[^\x20\x09-\x0D]")
     return (
         split.withColumn("line", F.btrim("raw", F.lit(SPACES)))
         .where(long_enough)
-        .select("doc_id", "site", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
+        .select(*ROW, "site", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
     )
 
 
+def _text_key(text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
+
+
 def line_spread(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> DataFrame:
     """``(h1, h2, sites, first_id)`` of the lines that at least ``min_sites`` distinct sites carry; first_id: the smallest document id.
 
@@ -59,14 +68,14 @@ def line_spread(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def boilerplate_positions(docs: DataFrame, spread: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_words: int = MIN_WORDS) -> DataFrame:
-    """``(doc_id, drop array<int>)``: positions of boilerplate lines per document; the document with the smallest id keeps its first one."""
+    """``(doc_id, t1, t2, drop array<int>)``: positions of boilerplate lines by id and text hash; the document with the smallest id keeps its first one."""
     lines = _lines(docs, id_col, text_col, site_col, min_words)
     held = lines.join(spread.select("h1", "h2", "first_id"), ["h1", "h2"])
     own = F.col("doc_id").eqNullSafe(F.col("first_id"))
-    kept_first = held.where(own).groupBy("doc_id", "h1", "h2").agg(F.sort_array(F.collect_set("pos")).alias("at"))
-    again = kept_first.select("doc_id", F.explode(F.slice("at", 2, F.greatest(F.size("at") - 1, F.lit(1)))).alias("pos"))
-    gone = held.where(~own).select("doc_id", "pos").union(again)
-    return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("drop"))
+    kept_first = held.where(own).groupBy(*ROW, "h1", "h2").agg(F.sort_array(F.collect_set("pos")).alias("at"))
+    again = kept_first.select(*ROW, F.explode(F.slice("at", 2, F.greatest(F.size("at") - 1, F.lit(1)))).alias("pos"))
+    gone = held.where(~own).select(*ROW, "pos").union(again)
+    return gone.groupBy(*ROW).agg(F.sort_array(F.collect_set("pos")).alias("drop"))
 
 
 def clean_text(text: Column, drop: Column) -> Column:
@@ -107,29 +116,34 @@ def second_seed() -> int:
 
 
 def drop_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, sent_lines: int = SENT_LINES) -> DataFrame:
-    """``docs`` with boilerplate lines cut from ``text`` and a column ``removed_lines`` (int).
+    """``docs`` with boilerplate lines cut from ``text`` and a column ``removed_lines`` (int), which takes the place of one of that name.
 
-    Lines are compared trimmed; case counts. Of each boilerplate line the occurrence in the document with the smallest id stays. Null texts stay
-    null; a null id is an id like any other; repeated rows lose the same lines; other columns are kept as they are. An
-    empty table gives an empty result. Up to ``sent_lines`` boilerplate lines are broadcast and cut beside each row, so
-    that no text is shuffled; with more, line positions are joined to the documents.
+    Lines are compared trimmed; case counts. Sites are counted exactly near the threshold, elsewhere estimated. Of each boilerplate line the occurrence in the
+    document with the smallest id stays. Null texts stay null; a null id is an id like any other; repeated rows lose the same lines; other columns are kept
+    as they are, whatever their names. An empty table gives an empty result. Up to ``sent_lines`` boilerplate lines are broadcast and cut beside each row, so
+    that no text is shuffled; with more, line positions are joined to the documents by id and text hash, with the same result.
     """
     small_batches(docs.sparkSession)
     spread = write_table(line_spread(docs, id_col, text_col, site_col, min_sites, min_words), "boilerplate")
+    row = F.struct(*[F.col(_quoted(c)) for c in docs.columns]).alias("row")
+    doc_id, text = F.col("row").getField(id_col), F.col("row").getField(text_col)
     if spread.limit(sent_lines + 1).count() <= sent_lines:
-        return _cut_in_place(docs, spread, id_col, text_col)
-    drop = boilerplate_positions(docs, spread, id_col, text_col, site_col, min_words).select(F.col("doc_id").alias("__id"), F.col("drop").alias("__drop"))
-    joined = docs.join(drop, docs[id_col].eqNullSafe(drop["__id"]), "left")
-    cleaned = joined.withColumn(text_col, clean_text(F.col(text_col), F.col("__drop")))
-    return cleaned.withColumn("removed_lines", F.coalesce(F.size("__drop"), F.lit(0))).select(*docs.columns, "removed_lines")
-
-
-def _cut_in_place(docs: DataFrame, spread: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    lines: dict[int, dict] = {}
-    for r in spread.select("h1", "h2", "first_id").toLocalIterator():
-        lines.setdefault(r.h1 % (1 << 64), {})[r.h2 % (1 << 64)] = r.first_id
-    cut = F.arrow_udf(_cutter(docs.sparkSession.sparkContext.broadcast(lines)), "struct<text: binary, removed: int>")
-    done = docs.withColumn("__cut", cut(F.col(id_col), F.col(text_col).cast("binary")))
-    # Texts that lost nothing are passed on as they came, not by way of Python.
-    text = F.when(F.col("__cut.removed") > 0, F.col("__cut.text").cast("string")).otherwise(F.col(text_col))
-    return done.select(*(text.alias(c) if c == text_col else F.col(c) for c in docs.columns), F.col("__cut.removed").alias("removed_lines"))
+        lines: dict[int, dict] = {}
+        for r in spread.select("h1", "h2", "first_id").toLocalIterator():
+            lines.setdefault(r.h1 % (1 << 64), {})[r.h2 % (1 << 64)] = r.first_id
+        cut = F.arrow_udf(_cutter(docs.sparkSession.sparkContext.broadcast(lines)), "struct<text: binary, removed: int>")
+        done = docs.select(row, cut(F.col(_quoted(id_col)), F.col(_quoted(text_col)).cast("binary")).alias("cut"))
+        # Texts that lost nothing are passed on as they came, not by way of Python.
+        cleaned, removed = F.when(F.col("cut.removed") > 0, F.col("cut.text").cast("string")).otherwise(text), F.col("cut.removed")
+    else:
+        drop = boilerplate_positions(docs, spread, id_col, text_col, site_col, min_words)
+        keyed = docs.select(row).withColumns(dict(zip(("k1", "k2"), _text_key(text), strict=True)))
+        same = doc_id.eqNullSafe(F.col("doc_id")) & (F.col("k1") == F.col("t1")) & (F.col("k2") == F.col("t2"))
+        done = keyed.join(drop, same, "left")
+        cleaned, removed = clean_text(text, F.col("drop")), F.coalesce(F.size("drop"), F.lit(0))
+    others = [c for c in docs.columns if c.lower() != "removed_lines"]
+    return done.select(*((cleaned if c == text_col else F.col("row").getField(c)).alias(c) for c in others), removed.alias("removed_lines"))
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"

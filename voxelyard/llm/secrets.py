@@ -1,15 +1,14 @@
 """Secret scanning with structural confirmation.
 
-Patterns find candidates; long base64 and hex runs are decoded and parsed, and are reported only if they hold a key or a signed token:
-DER structures whose nested lengths agree, OpenSSH key blobs whose length-prefixed fields fill them, token headers with an
-algorithm.
+Patterns find candidates; long base64 and hex runs are decoded and parsed, and are reported only if they hold a private key or a signed token:
+DER structures whose nested lengths agree, OpenSSH containers whose length-prefixed fields fill them, tokens with an algorithm,
+a payload and a signature. Public keys and certificates are no secrets.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
-import hashlib
 import json
 import re
 from collections.abc import Iterator
@@ -42,55 +41,80 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def der_length(data: bytes, at: int) -> tuple[int, int] | None:
-    """Start and end of the content of the DER value at ``at``; None if its length is malformed or runs over."""
-    if at + 2 > len(data):
-        return None
-    n, start = data[at + 1], at + 2
-    if n & 0x80:
-        size = n & 0x7F
-        if not 1 <= size <= 4 or start + size > len(data):
+def der_values(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
+    """``(tag, start, end)`` of the contents of the DER values that fill ``data[at:end]``; None if a length is malformed or runs over."""
+    out = []
+    while at < end:
+        if at + 2 > end:
             return None
-        n, start = int.from_bytes(data[start : start + size], "big"), start + size
-    return (start, start + n) if start + n <= len(data) else None
+        tag, n, start = data[at], data[at + 1], at + 2
+        if n & 0x80:
+            size = n & 0x7F
+            if not 1 <= size <= 4 or start + size > end:
+                return None
+            n, start = int.from_bytes(data[start : start + size], "big"), start + size
+        if start + n > end:
+            return None
+        out.append((tag, start, start + n))
+        at = start + n
+    return out
 
 
 def is_der_key(data: bytes) -> bool:
-    """One SEQUENCE over the whole, filled by well-formed values, among them an INTEGER, an algorithm SEQUENCE or a key string."""
-    if len(data) < 24 or data[0] != 0x30:
-        return False
-    outer = der_length(data, 0)
-    if outer is None or outer[1] != len(data):
+    """A private key: one SEQUENCE over the whole in which the lengths of all nested values agree, of one of these forms.
+
+    Version and key numbers (three INTEGERs at least), version and secret OCTET STRING, version, algorithm and OCTET STRING, or algorithm and
+    encrypted OCTET STRING. Public keys and certificates hold a BIT STRING instead, signatures and bare public numbers have no version.
+    """
+    top = der_values(data, 0, len(data)) if data[:1] == b"\x30" and len(data) >= 24 else None
+    if not top or len(top) != 1:
         return False
-    at, tags = outer[0], []
-    while at < outer[1]:
-        inner = der_length(data, at)
-        if inner is None:
-            return False
-        tags.append(data[at])
-        at = inner[1]
-    return at == outer[1] and len(tags) >= 2 and tags[0] in (0x02, 0x30) and bool({0x02, 0x03, 0x04} & set(tags))
+    children: dict[int, list] = {}
+    todo = list(top)
+    while todo:
+        tag, start, end = todo.pop()
+        if tag & 0x20:
+            inner = der_values(data, start, end)
+            if inner is None:
+                return False
+            children[start] = inner
+            todo += inner
+    parts = children[top[0][1]]
+    tags = [t for t, _, _ in parts]
 
+    def algorithm(k: int) -> bool:
+        return len(parts) > k and tags[k] == 0x30 and [t for t, _, _ in children[parts[k][1]]][:1] == [0x06]
 
-def is_ssh_key(data: bytes) -> bool:
-    """An OpenSSH private key container, or a public key blob whose length-prefixed fields fill it."""
-    if data.startswith(b"openssh-key-v1\0"):
-        data = data[15:]
-        at, n = 0, 0
-        while n < 3:
+    if tags[:1] == [0x02] and parts[0][2] - parts[0][1] == 1 and data[parts[0][1]] <= 3:
+        return tags[1:4] == [0x02] * 3 or tags[1:2] == [0x04] and parts[1][2] - parts[1][1] >= 16 or algorithm(1) and tags[2:3] == [0x04]
+    return tags == [0x30, 0x04] and algorithm(0)
+
+
+CONTAINER = b"openssh-key-v1\0"
+
+
+def container_size(data: bytes) -> int | None:
+    """Bytes of an OpenSSH private key container by its own fields: cipher, key derivation, its options, the number of public keys, these, the private part."""
+    at, left = len(CONTAINER), 3
+    if not data.startswith(CONTAINER):
+        return None
+    for head in (True, False):
+        while left:
             if at + 4 > len(data):
-                return False
+                return None
             at += 4 + int.from_bytes(data[at : at + 4], "big")
-            n += 1
-        return at + 4 <= len(data)
-    at, fields = 0, []
-    while at + 4 <= len(data):
-        size = int.from_bytes(data[at : at + 4], "big")
-        if at + 4 + size > len(data):
-            return False
-        fields.append(data[at + 4 : at + 4 + size])
-        at += 4 + size
-    return at == len(data) and len(fields) >= 2 and fields[0].startswith((b"ssh-", b"ecdsa-", b"sk-"))
+            left -= 1
+        if head:
+            left = int.from_bytes(data[at : at + 4], "big") + 1
+            at += 4
+            if not 2 <= left <= 17:
+                return None
+    return at
+
+
+def is_ssh_key(data: bytes) -> bool:
+    """An OpenSSH private key container whose length-prefixed fields fill it; public key blobs are no secrets."""
+    return container_size(data) == len(data)
 
 
 def _decoded(run: str) -> bytes | None:
@@ -101,33 +125,28 @@ def _decoded(run: str) -> bytes | None:
         return None
 
 
-def is_token_header(part: str) -> bool:
-    """The first part of a signed token: base64url JSON with an ``alg``."""
+def _json_part(part: str) -> object:
     try:
-        head = json.loads(base64.urlsafe_b64decode(part + "=" * (-len(part) % 4)))
+        return json.loads(base64.urlsafe_b64decode(part + "=" * (-len(part) % 4)))
     except (ValueError, RecursionError):
+        return None
+
+
+def is_token(token: str) -> bool:
+    """A signed token: base64url JSON objects as header, with an ``alg`` other than none, and as payload, and a signature of 16 bytes or more."""
+    head, payload, signature = token.split(".")
+    told = _json_part(head)
+    if not isinstance(told, dict) or not isinstance(told.get("alg"), str) or told["alg"].lower() == "none":
         return False
-    return isinstance(head, dict) and isinstance(head.get("alg"), str)
-
-
-def _key_sizes(data: bytes) -> list[int]:
-    """Bytes that a key at the start of ``data`` may take by its own lengths, longest first."""
-    if data[:1] == b"\x30":
-        size = data[1] & 0x7F if data[1:2] and data[1] & 0x80 else 0
-        return [2 + size + int.from_bytes(data[2 : 2 + size] if size else data[1:2], "big")] if size <= 4 else []
-    container = data.startswith(b"openssh-key-v1\0")
-    at, ends, left = 15 if container else 0, [], 3
-    while at + 4 <= len(data):
-        size = int.from_bytes(data[at : at + 4], "big")
-        if container and left == 0:
-            # After cipher, key derivation and its options: the number of public keys, which follow with the private part.
-            container, left, at, size = False, size + 1, at + 4, 0
-            continue
-        at, left = at + 4 + size, left - 1
-        ends.append(at)
-        if left == 0 and not container and data.startswith(b"openssh-key-v1\0"):
-            return [at]
-    return [] if data.startswith(b"openssh-key-v1\0") else ends[:0:-1]
+    return isinstance(_json_part(payload), dict) and len(_decoded(signature) or b"") >= 16
+
+
+def _key_size(data: bytes) -> int | None:
+    """Bytes that a key at the start of ``data`` takes by its own lengths."""
+    if data[:1] == b"\x30" and len(data) > 6:
+        size = data[1] & 0x7F if data[1] & 0x80 else 0
+        return 2 + size + int.from_bytes(data[2 : 2 + size] if size else data[1:2], "big") if size <= 4 else None
+    return container_size(data)
 
 
 def _keys_in(run: str) -> list[tuple[int, int]]:
@@ -145,25 +164,24 @@ def _keys_in(run: str) -> list[tuple[int, int]]:
             ends[held] = i
         # Four characters hold three bytes; what remains of the last four cannot be told from the next line's.
         clean = re.sub(r"\s|=", "", run[start:])
-        for size in _key_sizes(_decoded(clean[: len(clean) // 4 * 4]) or b""):
-            last = ends.get(-(-size * 4 // 3))
-            data = _decoded(run[start : lines[last][1]]) if last is not None else None
-            if data and (is_der_key(data) or is_ssh_key(data)):
-                out.append((start, lines[last][1]))
-                n = last + 1
-                break
+        size = _key_size(_decoded(clean[: len(clean) // 4 * 4]) or b"")
+        last = ends.get(-(-size * 4 // 3)) if size is not None else None
+        data = _decoded(run[start : lines[last][1]]) if last is not None else None
+        if data and (is_der_key(data) or is_ssh_key(data)):
+            out.append((start, lines[last][1]))
+            n = last + 1
     return out
 
 
-#: Base64 of what a key begins with: a SEQUENCE, a first field shorter than 256, or an OpenSSH container.
-_HEAD = re.compile("M[A-P]|AAAA|b3BlbnNza")
+#: Base64 of what a key begins with: a SEQUENCE or an OpenSSH container.
+_HEAD = re.compile("M[A-P]|b3BlbnNza")
 
 
 def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     """Spans of candidates that decode to a signed token or a key."""
     out = []
     if "ey" in text and "." in text:
-        out += [(m.start(), 3, m.end()) for m in _TOKEN.finditer(text) if is_token_header(m[0].split(".")[0])]
+        out += [(m.start(), 3, m.end()) for m in _TOKEN.finditer(text) if is_token(m[0])]
     if "-----BEGIN" in text:
         for m in _ARMOR.finditer(text):
             data = _decoded(m[2])
@@ -218,7 +236,3 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             )
 
     return picked.mapInArrow(released(run), f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_spans string, spans string")
-
-
-def sha256_hex(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()

@@ -9,6 +9,7 @@ all 64 bits.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,10 @@ from voxelyard.operators.components import connected_components
 
 #: Members of one variant that are compared with each other in place; larger ones go to the two-sided variants.
 RUN_LIMIT = 2048
+#: Texts of more characters are hashed by slices of so many shingles.
+LONG_TEXT, SLICE = 1 << 20, 1 << 15
+#: A fingerprint that more than one row in so many has is hot; there are fewer of them than this number.
+HOT = 1000
 SEED = 42
 
 
@@ -48,6 +53,9 @@ def _batch_fingerprints(texts: Iterable, n_texts: int, width: int) -> np.ndarray
         held.clear(), starts.clear(), rows.clear()
 
     for row, text in enumerate(texts):
+        if text and len(text) > LONG_TEXT:
+            out[row] = _long_fingerprint(text, width)
+            continue
         words = [w.lower() for w in words_of(text)] if text else []
         if not words:
             continue
@@ -66,6 +74,32 @@ def _batch_fingerprints(texts: Iterable, n_texts: int, width: int) -> np.ndarray
     return out
 
 
+def _long_fingerprint(text: str, width: int) -> int:
+    """As ``_batch_fingerprints`` of one text, by slices of ``SLICE`` shingles: beside the text, memory does not follow its length."""
+    import re
+
+    import xxhash
+
+    words = (m[0] for m in re.finditer(rb"[^\x20\x09-\x0D]+", text.encode("utf-8", "surrogatepass").lower()))
+    counts, total, kept = np.zeros(64, np.int64), 0, []
+    while True:
+        kept = kept[len(kept) - width + 1 :] if len(kept) >= width else kept
+        kept += islice(words, SLICE)
+        n = len(kept) - width + 1
+        if n < 1:
+            if total or not kept:
+                break
+            kept, n = [b" ".join(kept)], 1  # fewer words than a shingle: their sequence
+            hashes = [xxhash.xxh64_intdigest(kept[0], SEED)]
+        else:
+            hashes = [xxhash.xxh64_intdigest(b" ".join(kept[i : i + width]), SEED) for i in range(n)]
+        counts += np.unpackbits(np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        total += n
+        if len(kept) < width:
+            break
+    return int(np.packbits(2 * counts > total, bitorder="little").view(np.uint64)[0]) if total else 0
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """``(doc_id, fp long)`` for every row.
 
@@ -101,18 +135,20 @@ def _popcount(x: np.ndarray) -> np.ndarray:
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Sorted (key, fp) columns, cut so that no key is spread over two pieces unless its run exceeds the limit."""
-    key, fp = np.empty(0, np.int64), np.empty(0, np.int64)
+    """Sorted (key, fp) columns, cut where a key begins: no key is spread over two pieces."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
     for batch in batches:
-        key = np.concatenate([key, batch.column("key").to_numpy()])
-        fp = np.concatenate([fp, batch.column("fp").to_numpy()])
-        if len(key):
-            cut = np.searchsorted(key, key[-1])
-            if cut:
-                yield key[:cut], fp[:cut]
-                key, fp = key[cut:], fp[cut:]
-    if len(key):
-        yield key, fp
+        key, fp = batch.column("key").to_numpy(), batch.column("fp").to_numpy()
+        if not len(key):
+            continue
+        cut = int(np.searchsorted(key, key[-1]))
+        if cut or held and held[-1][0][-1] != key[0]:
+            parts = [*held, (key[:cut], fp[:cut])]
+            yield tuple(np.concatenate([p[k] for p in parts]) for k in (0, 1))
+            held = []
+        held.append((key[cut:], fp[cut:]))
+    if held:
+        yield tuple(np.concatenate([p[k] for p in held]) for k in (0, 1))
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,13 +239,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gives an empty result.
     """
     fps = write_table(fingerprints(docs, id_col, text_col, width), "simhash-fp")
-    classes = write_table(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
+    classes = write_table(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-classes")
     reached = connected_components(near_links(classes.select("fp")))
     named = classes.join(reached.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
     roots = named.groupBy("root").agg(F.min("least").alias("component_id"))
     moved = named.where("component is not null").join(roots, "root").select("fp", "component_id")
-    labels = classes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return fps.join(labels, "fp").select("doc_id", "fp", "component_id")
+    told = classes.join(moved, "fp", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id"))
+    labels = write_table(told, "simhash-labels")
+    # Rows of hot fingerprints take their label from a broadcast of under HOT rows; the others meet theirs by a join.
+    least = F.lit(fps.count()) / HOT
+    hot = labels.where(F.col("n") > least).select("fp", F.col("component_id").alias("label"), F.lit(True).alias("hot"))
+    marked = fps.join(F.broadcast(hot), "fp", "left")
+    rest = marked.where("hot is null").select("doc_id", "fp").join(labels.where(F.col("n") <= least), "fp")
+    return marked.where("hot").select("doc_id", "fp", F.col("label").alias("component_id")).union(rest.select("doc_id", "fp", "component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

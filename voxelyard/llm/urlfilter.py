@@ -25,7 +25,7 @@ RULES = [
 ]
 #: Fixed list: host labels of listed sites.
 LISTED_LABELS = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
-#: The levels of a cascade are literals in the plan; together they may have so many bits (4 MB).
+#: The levels of a cascade are literals in the plan; together they may have about so many bits (4 MB). More listed keys are cut by hash into several cascades.
 MAX_BITS = 1 << 25
 #: False positives of the first level and of the later ones.
 FIRST_RATE, LATER_RATE = 0.02, 0.2
@@ -100,20 +100,23 @@ def _level(keys: DataFrame, count: int, rate: float, seed: int) -> Level:
     return Level(tuple(held), bits, hashes, seed)
 
 
-def build_cascade(universe: DataFrame, max_bits: int = MAX_BITS, first_rate: float = FIRST_RATE) -> Cascade | None:
-    """Cascade for ``universe (key, listed boolean)``, distinct keys; None if its bits would exceed ``max_bits``.
+def cascade_bits(count: int, first_rate: float = FIRST_RATE) -> float:
+    """Bits that the levels of a cascade over ``count`` listed keys take: the first, and what later levels add at most in the mean."""
+    per_key = -math.log(first_rate) / math.log(2) ** 2
+    later = -math.log(LATER_RATE) / math.log(2) ** 2
+    return count * (per_key + 2 * later)
 
-    What comes to the driver are the words of a level: at most ``max_bits / 64`` numbers in all, whatever the universe.
+
+def build_cascade(universe: DataFrame, first_rate: float = FIRST_RATE) -> Cascade:
+    """Cascade for ``universe (key, listed boolean)``, distinct keys.
+
+    What comes to the driver are the words of a level, in proportion to the listed keys: ``judge_urls`` sees to it that they are few enough.
     """
     levels: list[Level] = []
     inside, outside = universe.where("listed").select("key"), universe.where("not listed").select("key")
-    count, used = inside.count(), 0
+    count = inside.count()
     while count or not levels:
-        rate = LATER_RATE if levels else first_rate
-        used += max(64, count * -math.log(rate) / math.log(2) ** 2)
-        if used > max_bits:
-            return None
-        level = _level(inside, count, rate, len(levels) + 1)
+        level = _level(inside, count, LATER_RATE if levels else first_rate, len(levels) + 1)
         levels.append(level)
         wrong = write_table(outside.where(level.holds(F.col("key"))), f"cascade{len(levels)}")
         inside, outside = wrong, inside
@@ -125,27 +128,32 @@ def build_cascade(universe: DataFrame, max_bits: int = MAX_BITS, first_rate: flo
 
 def judge_urls(
     pages: DataFrame,
-    listed: Column,
+    listed: Column | DataFrame,
     rules: list[tuple[str, str, str]] = RULES,
     id_col: str = "page_id",
     url_col: str = "url",
     max_bits: int = MAX_BITS,
 ) -> DataFrame:
-    """``(page_id, host, path, rule, verdict, listed)`` per row; ``listed`` is a boolean Column over ``key``, a host.
+    """``(page_id, host, path, rule, verdict, listed)`` per row; ``listed`` is a boolean Column over ``key``, a host, or a table of hosts ``(key)``.
 
     The longest rule that fits decides; else a host that the list has is blocked and any other is allowed. The universe is
     every distinct host of the table, so membership is exact. Null or empty urls have an empty host, which is a key like any
-    other; repeated rows are judged alike; an empty table gives an empty result. A list too large for ``max_bits`` is
-    joined by its distinct keys instead.
+    other; repeated rows are judged alike; other columns are ignored; an empty table gives an empty result. A list too large for one cascade of ``max_bits`` is cut by
+    key hash into as many cascades as it takes, and the table is read once for each: no row is joined or shuffled at any size.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    universe = rows.select(F.col("host").alias("key")).distinct().withColumn("listed", F.coalesce(listed, F.lit(False)))
-    universe = write_table(universe, "hosts")
-    cascade = build_cascade(universe, max_bits)
-    if cascade is None:
-        told = rows.join(universe.withColumnRenamed("key", "host"), "host")
-    else:
-        told = rows.withColumn("listed", cascade.member(F.col("host")))
+    universe = rows.select(F.col("host").alias("key")).distinct()
+    if isinstance(listed, DataFrame):
+        universe = universe.join(listed.select("key", F.lit(True).alias("listed")).where("key is not null").distinct(), "key", "left")
+        listed = F.col("listed")
+    universe = write_table(universe.withColumn("listed", F.coalesce(listed, F.lit(False))), "hosts")
+    n = max(1, math.ceil(cascade_bits(universe.where("listed").count()) / max_bits))
+    told = None
+    for k in range(n):
+        own = lambda key: F.pmod(F.xxhash64(F.lit("cascade"), key), F.lit(n)) == k if n > 1 else F.lit(True)  # noqa: B023, E731
+        cascade = build_cascade(universe.where(own(F.col("key"))))
+        part = rows.where(own(F.col("host"))).withColumn("listed", cascade.member(F.col("host")))
+        told = part if told is None else told.union(part)
     ruled = told.withColumn("r", longest_rule(F.col("host"), F.col("path"), rules))
     method = F.when(F.col("listed"), "block").otherwise("allow")
     return ruled.select(

@@ -17,12 +17,13 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from itertools import groupby
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelyard.llm._shared import RangeReader, new_path, opened_for_writing, released, small_batches, write_table
+from voxelyard.llm._shared import RangeReader, new_path, opened_for_writing, partitions_for, released, small_batches, values_of, write_table
 
 CAPTURE = "surt string, page_id {id}, url string, archive string, offset long, length long, record_type string"
 RECORD = "page_id {id}, url string, payload_bytes long, payload_digest string, record_type string, refers_to {id}, payload binary"
@@ -50,30 +51,45 @@ def sha1_base32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _record(page_id, url: str | None, payload: bytes, digest: str, first) -> bytes:
-    """One record, a gzip member; first: the id of the record it revisits, wrapped in a tuple, or None."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    block = http if first else http + payload
+def _record_id(*parts) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, json.dumps(parts))}>"
+
+
+def _member(head: dict, block: bytes) -> bytes:
+    """One record as a gzip member."""
+    lines = "".join(f"{k}: {v}\r\n" for k, v in (head | {"Content-Length": len(block)}).items() if v is not None)
+    return gzip.compress(b"WARC/1.1\r\n" + lines.encode("ascii") + b"\r\n" + block + b"\r\n\r\n", 3, mtime=0)
+
+
+def _information(name: str) -> bytes:
+    """The record that opens an archive."""
+    head = {"WARC-Type": "warcinfo", "WARC-Record-ID": _record_id(name), "WARC-Date": "1970-01-01T00:00:00Z", "Content-Type": "application/warc-fields"}
+    return _member(head, b"format: WARC File Format 1.1\r\n")
+
+
+def _record(page_id, url: str | None, payload: bytes | None, size: int, digest: str, copy: int, first, shared: bool) -> bytes:
+    """A response with its payload, or, if ``first`` is a tuple of the page id that it revisits, a revisit without one."""
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
+    own = page_id, digest, *(() if shared and not first else (url, copy))
     head = {
         "WARC-Type": "revisit" if first else "response",
-        "WARC-Record-ID": f"<urn:page:{json.dumps(page_id)}>",
+        "WARC-Record-ID": _record_id(*own),
         "WARC-Date": "1970-01-01T00:00:00Z",
-        "WARC-Target-URI": None if url is None else json.dumps(url),
+        "WARC-Target-URI": quote(url, safe="%/:=&?~#+!$,;'@()*[]") if url and "://" in url else f"urn:page:{quote(json.dumps(page_id))}",
         "WARC-Payload-Digest": f"sha1:{digest}",
         "WARC-Profile": PROFILE if first else None,
-        "WARC-Refers-To": f"<urn:page:{json.dumps(first[0])}>" if first else None,
+        "WARC-Refers-To": _record_id(first[0], digest) if first else None,
+        "Refers-To-Page": json.dumps(first[0]) if first else None,
         "Content-Type": "application/http; msgtype=response",
-        "Content-Length": len(block),
     }
-    lines = "".join(f"{k}: {v}\r\n" for k, v in head.items() if v is not None)
-    return gzip.compress(b"WARC/1.1\r\n" + lines.encode("utf-8", "surrogatepass") + b"\r\n" + block + b"\r\n\r\n", 3, mtime=0)
+    return _member(head, http if first else http + payload)
 
 
 def parse_record(member: bytes) -> dict:
     """Headers, payload (empty for a revisit) and what the HTTP head says of its length."""
     raw = gzip.decompress(member)
     head, _, rest = raw.partition(b"\r\n\r\n")
-    fields = dict(x.split(": ", 1) for x in head.decode("utf-8", "surrogatepass").split("\r\n")[1:])
+    fields = dict(x.split(": ", 1) for x in head.decode("ascii").split("\r\n")[1:])
     block = rest[: int(fields["Content-Length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
     return {"fields": fields, "payload": payload, "http_length": int(re.search(rb"Content-Length: (\d+)", http)[1])}
@@ -84,8 +100,8 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
 
     The payload is the html in UTF-8; null is empty. Of records with equal payloads of ``min_payload`` bytes or more, that with
     the smallest page_id is a response and the others are revisits without a payload; shorter ones are all responses. Of
-    repeated rows (same id and payload) the first is the response and the rest revisit it. A null id sorts last. Other columns are
-    ignored. A task that fails or runs twice leaves an archive that no capture names.
+    repeated rows (same id and payload) that with the smallest url is the response, and of rows alike in the url too the first; a null id or url sorts last. Rows alike in all
+    three travel as one row and its number. Other columns are ignored. A task that fails or runs twice leaves an archive that no capture names.
     """
     small_batches(pages.sparkSession)
     spark, kind = pages.sparkSession, pages.schema[id_col].dataType.simpleString()
@@ -93,31 +109,37 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     rows = pages.select(
         F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.encode(F.coalesce(html_col, F.lit("")), "UTF-8").alias("payload")
     ).withColumn("sha", F.sha1("payload"))
-    narrow = rows.where(F.length("payload") >= min_payload).select("page_id", "sha")
-    # (page_id, sha) of the rows that share a payload; counted before the shuffle, so a hot payload is a few rows.
-    shared = narrow.groupBy("sha").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    told = narrow.join(shared, "sha").select(F.col("page_id").alias("pid"), F.col("sha").alias("psha"), "first_id").distinct()
-    # A merge join brings repeated rows together, so that one of them alone is the response.
-    joined = rows.join(told.hint("merge"), rows["page_id"].eqNullSafe(told["pid"]) & (rows["sha"] == told["psha"]), "left")
-    joined = joined.select("page_id", "url", "payload", F.col("psha").isNotNull().alias("shared"), "first_id")
+    # Counted before the shuffle: a payload that very many rows share is a few partial counts.
+    order = F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", F.col("url").isNull().alias("no_url"), "url")
+    narrow = rows.where(F.length("payload") >= min_payload).groupBy("page_id", "url", "sha").agg(F.count("*").alias("n"))
+    shared = narrow.groupBy("sha").agg(F.min(order).alias("first"), F.sum("n").alias("n")).where("n > 1").drop("n")
+    told = narrow.join(shared, "sha").select("page_id", "url", "sha", F.struct((order == F.col("first")).alias("is_first"), F.col("first.page_id").alias("first_id")).alias("told"))
+    empty = F.lit(None)
+    every = rows.select("page_id", "url", "sha", "payload", F.lit(1).alias("n"), empty.cast(told.schema["told"].dataType).alias("told"))
+    every = every.union(told.select("page_id", "url", "sha", empty.cast("binary"), F.lit(0), "told"))
+    met = every.groupBy("page_id", "url", "sha").agg(F.first("payload", True).alias("payload"), F.sum("n").alias("n"), F.max("told").alias("told"))
+    joined = met.select("page_id", "url", "payload", "n", F.col("told").isNotNull().alias("shared"), "told.is_first", "told.first_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batch = next(batches, None)
-        seen = set()  # the responses so far that share their payload
         while batch is not None:
-            name, at = f"{folder}/{uuid.uuid4().hex}.warc.gz", 0
+            name = f"{folder}/{uuid.uuid4().hex}.warc.gz"
             with opened_for_writing(name) as out:
+                out.write(head := _information(name))
+                at = len(head)
                 while batch is not None and at < ARCHIVE_BYTES:
                     found = []
-                    for x in batch.to_pylist():
-                        digest = sha1_base32(x["payload"])
-                        revisit = x["shared"] and (x["page_id"] != x["first_id"] or digest in seen)
-                        if x["shared"] and not revisit:
-                            seen.add(digest)
-                        member = _record(x["page_id"], x["url"], x["payload"], digest, (x["first_id"],) if revisit else None)
-                        out.write(member)
-                        found.append((surt(x["url"]), x["page_id"], x["url"], name, at, len(member), "revisit" if revisit else "response"))
-                        at += len(member)
+                    for page_id, url, payload, n, shares, is_first, first_id in zip(*map(values_of, batch.columns), strict=True):
+                        digest, key = sha1_base32(payload), surt(url)
+                        for copy in range(n):
+                            revisit = shares and (not is_first or copy > 0)
+                            member = _record(page_id, url, payload, len(payload), digest, copy, (first_id,) if revisit else None, shares)
+                            out.write(member)
+                            found.append((key, page_id, url, name, at, len(member), "revisit" if revisit else "response"))
+                            at += len(member)
+                            if len(found) >= 10_000:
+                                yield _batch(found, capture)
+                                found = []
                     yield _batch(found, capture)
                     batch = next(batches, None)
 
@@ -141,7 +163,7 @@ def build_index(captures: DataFrame, block_lines: int = BLOCK_LINES) -> DataFram
     """Sort captures by key, write compressed blocks and a block directory per range, and return one row per range of keys."""
     spark, folder = captures.sparkSession, new_path(captures.sparkSession, "index")
     names = captures.columns
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions_for(spark, captures.agg(F.sum(F.length("surt") + F.length("archive") + F.coalesce(F.length("url"), F.lit(0)))).first()[0])
     ordered = captures.repartitionByRange(n, "surt", "archive", "offset").sortWithinPartitions("surt", "archive", "offset")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,9 +201,8 @@ def build_index(captures: DataFrame, block_lines: int = BLOCK_LINES) -> DataFram
     return write_table(ordered.mapInArrow(released(run), SHARD), "shards")
 
 
-def candidate_blocks(directory: list, key: str) -> range:
-    """Numbers of the blocks that may hold key: from the last block whose first key is smaller to the last whose is not larger."""
-    firsts = [x[0] for x in directory]
+def candidate_blocks(firsts: list[str], key: str) -> range:
+    """Numbers of the blocks that may hold key, by their first keys: from the last that is smaller to the last that is not larger."""
     low = max(0, bisect.bisect_left(firsts, key) - 1)
     return range(low, bisect.bisect_right(firsts, key))
 
@@ -192,16 +213,16 @@ def lookup(shards: DataFrame, keys: DataFrame, id_type: str = "bigint") -> DataF
     The driver holds one row per range of keys: as many as the index has partitions. A task keeps the directories of the ranges that it
     meets, and a key with very many captures is dealt out by block.
     """
-    spark, n = keys.sparkSession, int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    top = sorted((r.first_key, r.last_key, r.directory) for r in shards.collect())
+    spark, held_shards = keys.sparkSession, shards.collect()
+    n = partitions_for(spark, 256 * sum(r.captures for r in held_shards))
+    top = sorted((r.first_key, r.last_key, r.directory) for r in held_shards)
     lasts = [x[1] for x in top]
     text = CAPTURE.format(id=id_type)
     schema = _arrow(spark, text)
     wanted = _arrow(spark, "surt string, file string, at long, size long")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {}
-        reader = RangeReader()
+        held: dict[str, tuple[list, list]] = {}
         for batch in batches:
             found = []
             for key in batch.column("surt").to_pylist():
@@ -211,11 +232,12 @@ def lookup(shards: DataFrame, keys: DataFrame, id_type: str = "bigint") -> DataF
                     if name not in held:
                         if len(held) >= 16:
                             held.pop(next(iter(held)))
-                        held[name] = json.loads(zlib.decompress(_whole(name)))
-                    found += [(key, *held[name][b][1:]) for b in candidate_blocks(held[name], key)]
+                        entries = json.loads(zlib.decompress(_whole(name)))
+                        held[name] = [e[0] for e in entries], entries
+                    firsts, entries = held[name]
+                    found += [(key, *entries[b][1:]) for b in candidate_blocks(firsts, key)]
                     i += 1
             yield _batch(found, wanted)
-        del reader
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = RangeReader()
@@ -244,7 +266,8 @@ def read_records(captures: DataFrame, with_payload: bool = True) -> DataFrame:
 
     Of a response, bytes and digest are those of the payload read; of a revisit, those that its headers give.
     """
-    spark, n = captures.sparkSession, int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = captures.sparkSession
+    n = partitions_for(spark, captures.agg(F.sum("length")).first()[0])
     text = RECORD.format(id=captures.schema["page_id"].dataType.simpleString())
     schema = _arrow(spark, text)
 
@@ -259,7 +282,7 @@ def read_records(captures: DataFrame, with_payload: bool = True) -> DataFrame:
                 if kind == "response":
                     told = (len(payload), sha1_base32(payload), kind, None)
                 else:
-                    told = (r["http_length"], fields["WARC-Payload-Digest"].removeprefix("sha1:"), kind, json.loads(fields["WARC-Refers-To"][10:-1]))
+                    told = (r["http_length"], fields["WARC-Payload-Digest"].removeprefix("sha1:"), kind, json.loads(fields["Refers-To-Page"]))
                 rows.append((page_id, url, *told, payload if with_payload else None))
                 held += len(payload)
                 if held > STRETCH:
