@@ -122,3 +122,126 @@ def test_radius_counts_of_vectors_are_not_capped(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
     got = {r.q_id: r.n for r in queries.radius_embeddings(spark, str(tmp_path)).collect()}
     assert got == {0: 41, 20: 40, 60: 1, 80: 2}
+
+
+def random_cloud(spark, seed, n=400):
+    import random
+
+    rng = random.Random(seed)
+    rows = [(rng.randrange(3), i, *(rng.choice([3, 8, -6]) + rng.gauss(0, 0.8) for _ in "xyz")) for i in range(n)]
+    rows += [(0, n, math.nan, 1.0, 1.0), (1, n + 1, math.inf, 1.0, 1.0), (2, n + 2, 1e9, 0.0, 0.0), (2, n + 3, 1e300, 1e300, 0.0), (2, n + 4, 3.0, -0.001, 0.5), (2, n + 5, 3.0, 0.001, 0.5)]
+    return spark.createDataFrame(rows, "frame_id long, point_index long, x double, y double, z double").repartition(5)
+
+
+def test_clusters_by_frame_and_by_edges_agree(spark):
+    from voxelyard.config import ClustererConfig
+
+    for seed, full in ((1, False), (2, True)):
+        points = random_cloud(spark, seed)
+        cfg = ClustererConfig(full_circle=full)
+        one, two = (sorted(map(str, clustering.cluster(points.where("abs(x) < 1e200 or isnan(x)"), cfg, by).collect())) for by in ("frame", "edges"))
+        assert one == two and len(one) == 404
+    got = {r.point_index: r.cluster_label for r in clustering.cluster(points, cfg).collect()}
+    assert len(got) == 406 and got[400] == got[401] == got[402] == -1
+
+
+def test_far_points_cost_no_more_than_near_ones(spark):
+    points = random_cloud(spark, 3)
+    got = {r.point_index: r.noise for r in spatial.noise_labels(points).collect()}
+    assert len(got) == 406 and got[400] == got[401] == got[402] == got[403] == 1
+    rows = {(r.frame_id, r.point_index): (r.x, r.y, r.z) for r in points.where("abs(x) < 1e8").collect()}
+    for (f, i), p in rows.items():
+        reach = max(0.02 * math.hypot(p[0], p[1]), 0.1)
+        assert got[i] == int(sum(f == k and math.dist(p, q) <= reach for (k, _), q in rows.items()) < 4)
+
+
+def test_radius_pairs_of_any_radius(spark):
+    points = random_cloud(spark, 4, 150).where("abs(x) < 100")
+    rows = [(r.frame_id, r.point_index, (r.x, r.y, r.z)) for r in points.collect()]
+    for radius in (0.3, 1.0, 5.0):
+        got = {(r.frame_id, r.q_index, r.t_index) for r in spatial.radius_search(points, radius).collect()}
+        assert got == {(f, i, j) for f, i, p in rows for k, j, q in rows if f == k and math.dist(p, q) <= radius}
+    near = spatial.radius_any(points, 5.0, 3, nearest_first=True).groupBy("frame_id", "q_index").agg(F.min("d2").alias("least"), F.count("*").alias("n"))
+    assert near.where("least > 0 or n > 3").count() == 0
+
+
+def hulls_at_random(seed, many=200):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(seed)
+    for _ in range(many):
+        grid = rng.random() < 0.5
+        pts = [(rng.randrange(6), rng.randrange(6)) if grid else (rng.gauss(500, 3), rng.gauss(-900, 1)) for _ in range(rng.randrange(3, 40))]
+        x, y = np.array([float(p[0]) for p in pts]), np.array([float(p[1]) for p in pts])
+        keep = polygons.hull_order(x, y)
+        if len(keep) > 2:
+            yield x, y, keep
+
+
+def test_hulls_hold_their_points_and_turn_left():
+    for x, y, keep in hulls_at_random(1):
+        for i, j in zip(keep, keep[1:] + keep[:1]):
+            side = (x[j] - x[i]) * (y - y[i]) - (y[j] - y[i]) * (x - x[i])
+            assert side.min() > -1e-9
+        assert polygons.hull_order(x[keep], y[keep]) == list(range(len(keep)))
+
+
+def test_antipodal_pairs_against_their_definition():
+    for x, y, keep in hulls_at_random(2):
+        hx, hy = x[keep].tolist(), y[keep].tolist()
+        n = len(hx)
+        edges = [(hx[(k + 1) % n] - hx[k], hy[(k + 1) % n] - hy[k]) for k in range(n)]
+        between = lambda a, b, d: a[0] * d[1] - a[1] * d[0] >= 0 and d[0] * b[1] - d[1] * b[0] >= 0
+        cones = [(edges[k - 1], edges[k]) for k in range(n)]
+        meets = lambda i, j: any(between(*cones[j], (-dx, -dy)) for dx, dy in cones[i]) or any(between(*cones[i], (-dx, -dy)) for dx, dy in cones[j])  # noqa: B023, E731
+        assert polygons.antipodal_of(hx, hy) == [(i, j) for i in range(n) for j in range(i + 1, n) if meets(i, j)]
+
+
+def test_boxes_are_smallest_and_hold_their_hull(spark):
+    rows = [(0, i, [{"x": float(x[k]), "y": float(y[k])} for k in keep]) for i, (x, y, keep) in enumerate(hulls_at_random(3, 60))]
+    hulls = spark.createDataFrame(rows, polygons.HULL)
+    got = {r.cluster_label: r.box for r in polygons.min_area_boxes(hulls).collect()}
+    for _, i, hull in rows:
+        areas = []
+        for p, q in zip(hull, hull[1:] + hull[:1]):
+            a = math.atan2(q["y"] - p["y"], q["x"] - p["x"])
+            u = [v["x"] * math.cos(a) + v["y"] * math.sin(a) for v in hull]
+            w = [v["y"] * math.cos(a) - v["x"] * math.sin(a) for v in hull]
+            areas.append((max(u) - min(u)) * (max(w) - min(w)))
+        assert got[i].area == pytest.approx(min(areas), rel=1e-9, abs=1e-9)
+        c = got[i].corners
+        for v in hull:
+            for p, q in zip(c, c[1:] + c[:1]):
+                assert (q.x - p.x) * (v["y"] - p.y) - (q.y - p.y) * (v["x"] - p.x) > -1e-6
+
+
+def test_stale_votes_at_the_border(spark):
+    """A conflict pixel on the first row keeps, beyond the image, the votes of the pixel before it."""
+    schema = "frame_id long, height_index int, width_index int, point_index long, x double, y double, z double, label int, depth_sq double"
+    rows = [
+        (0, 0, 10, 0, 5.0, 0.0, 0.0, 1, 25.0), (0, 0, 11, 1, 5.0, 0.3, 0.0, 2, 25.0), (0, 0, 9, 2, 5.0, -0.05, 0.0, 1, 25.0),
+        (0, 0, 40, 3, 9.0, 0.0, 0.0, 1, 81.0), (0, 0, 41, 4, 9.0, 0.4, 0.0, 2, 81.0), (0, 0, 38, 5, 9.0, -0.05, 0.0, 1, 81.0),
+    ]
+    image = spark.createDataFrame(rows, schema)
+    plain = {r.point_index: r.label for r in ground.convolve_in_order(image).collect()}
+    stale = {r.point_index: r.label for r in ground.convolve_in_order(image, stale_border=True).collect()}
+    assert set(plain) == set(stale) == set(range(6)) and plain[1] == stale[1] == 2
+
+
+def test_draws_come_from_the_twister():
+    from voxelyard.plans.oracle import twister
+
+    raw = twister(42, 100)
+    assert raw[:2] == [1608637542, 3421126067]
+    for n in (2, 3, 17, 4000):
+        at, want = 0, []
+        while len(want) < 20:
+            second, third = raw[at] * n >> 32, raw[at + 1] * n >> 32
+            at += 2
+            while third == second:
+                third = raw[at] * n >> 32
+                at += 1
+            want.append((second, third))
+        assert ground.draw_pairs(n, 20) == want

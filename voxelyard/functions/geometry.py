@@ -37,10 +37,6 @@ def atan2_approx(y: Column, x: Column, kind: str = "double") -> Column:
     return F.when(y < 0, num(-1.0, kind)).otherwise(num(1.0, kind)) * r
 
 
-def full_circle(angle: Column, kind: str = "double") -> Column:
-    return F.when(angle < 0, angle + num(TWO_PI, kind)).otherwise(angle)
-
-
 def planar_range(x: Column, y: Column) -> Column:
     return F.sqrt(x * x + y * y)
 
@@ -72,11 +68,6 @@ def dist_sq(a: list[Column], b: list[Column]) -> Column:
     return out
 
 
-def array_dist_sq(a: Column, b: Column) -> Column:
-    """Squared distance of two arrays of one length."""
-    return F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), num(0.0), lambda s, v: s + v.cast("double"))
-
-
 def cross(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     return x1 * y2 - x2 * y1
 
@@ -141,9 +132,9 @@ def label_colour(label: Column) -> Column:
 
 
 def cluster_colour(label: Column) -> Column:
-    """A fixed pseudo-random colour for each cluster."""
-    h = F.xxhash64(label)
-    return F.struct(*[F.shiftrightunsigned(h, s).bitwiseAND(F.lit(255)).cast("int").alias(n) for n, s in (("r", 0), ("g", 8), ("b", 16))])
+    """A fixed colour for each cluster: three bytes of a multiple of its number, far from its neighbours'."""
+    h = F.pmod((label + 1).cast("long") * F.lit(2654435761), F.lit(1 << 32))
+    return F.struct(*[F.shiftright(h, s).bitwiseAND(F.lit(255)).cast("int").alias(n) for n, s in (("r", 24), ("g", 16), ("b", 8))])
 
 
 def stamp_micros(sec: Column, nanosec: Column) -> Column:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from voxelyard.config import ClustererConfig
 from voxelyard.functions.geometry import azimuth_deg, elevation_deg, spatial_range
-from voxelyard.operators.components import connected_components
+from voxelyard.operators.components import component_of, connected_components
 
 VOXEL = ["frame_id", "range_index", "azimuth_index", "elevation_index"]
 #: One of each pair of opposite steps to the 26 voxels around one.
@@ -21,10 +23,19 @@ def spherical(points: DataFrame) -> DataFrame:
     return points.withColumn("range", F.round(spatial_range(x, y, z), 9)).withColumn("azimuth", azimuth_deg(x, y)).withColumn("elevation", elevation_deg(x, y, z) + 90.0)
 
 
+def finite() -> F.Column:
+    """Whether x, y and z are numbers (neither NaN nor infinite nor null) of which the range can be told."""
+    return F.coalesce(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z") < float("inf"), F.lit(False))
+
+
 def voxelize(points: DataFrame, cfg: ClustererConfig = ClustererConfig()) -> DataFrame:
-    binned = spherical(points.where(~(F.isnan("x") | F.isnan("y") | F.isnan("z"))))
+    """Points with finite coordinates and their voxel."""
+    return _binned(points.where(finite()), cfg)
+
+
+def _binned(points: DataFrame, cfg: ClustererConfig) -> DataFrame:
     bins = (("range", cfg.voxel_range_m), ("azimuth", cfg.voxel_azimuth_deg), ("elevation", cfg.voxel_elevation_deg))
-    return binned.withColumns({f"{k}_index": F.floor(F.col(k) / size).cast("int") for k, size in bins})
+    return spherical(points).withColumns({f"{k}_index": F.floor(F.col(k) / size) for k, size in bins})
 
 
 def distinct_voxels(voxelized: DataFrame) -> DataFrame:
@@ -53,15 +64,62 @@ def voxel_edges(voxels: DataFrame, cfg: ClustererConfig = ClustererConfig()) ->
     return asked.join(voxels.select(*VOXEL, _node().alias("dst")), VOXEL).select("frame_id", "src", "dst")
 
 
-def cluster(points: DataFrame, cfg: ClustererConfig = ClustererConfig()) -> DataFrame:
-    """``points`` with ``cluster_label``: from 0 in each frame in the order of the lowest point_index; -1 for clusters under ``min_cluster_size`` points."""
+def _frame_labels(cfg: ClustererConfig, names: list[str]):
+    """Labels of one frame: distinct voxels, their neighbours by binary search, components, and numbers by lowest point_index."""
+
+    def run(table: pa.Table) -> pa.Table:
+        index = table.column("point_index").to_numpy()
+        r, a, e = (table.column(k).to_numpy() for k in VOXEL[1:])
+        good = table.column("finite").to_numpy()
+        label = np.full(len(index), -1, np.int32)
+        if good.any():
+            r, a, e = (np.asarray(v[good], np.int64) for v in (r, a, e))
+            # Gaps of the range index close up to 2, so that a far point doesn't widen the codes.
+            levels, place = np.unique(r, return_inverse=True)
+            close = np.concatenate([[0], np.cumsum(np.minimum(np.diff(levels), 2))])[place]
+            wide, high = int(a.max()) + 3, int(e.max()) + 3
+            code = lambda x, y, z: (x * wide + y + 1) * high + z + 1
+            voxels, first, own = np.unique(code(close, a, e), return_index=True, return_inverse=True)
+            x, y, z = close[first], a[first], e[first]
+            turn = round(360.0 / cfg.voxel_azimuth_deg)
+            src, dst = [], []
+            for dr, da, de in HALF:
+                near = (y + da) % turn if cfg.full_circle else y + da
+                wanted = np.where((x + dr >= 0) & (near < wide - 1), code(x + dr, near, z + de), -1)
+                at = np.minimum(np.searchsorted(voxels, wanted), len(voxels) - 1)
+                hit = np.flatnonzero(voxels[at] == wanted)
+                src.append(hit), dst.append(at[hit])
+            root = component_of(len(voxels), np.concatenate(src), np.concatenate(dst))[own]
+            size = np.bincount(root, minlength=len(voxels))
+            least = np.full(len(voxels), np.iinfo(np.int64).max)
+            np.minimum.at(least, root, index[good])
+            large = np.flatnonzero(size >= max(1, cfg.min_cluster_size))
+            number = np.full(len(voxels), -1, np.int32)
+            number[large[np.argsort(least[large], kind="stable")]] = np.arange(len(large))
+            label[good] = number[root]
+        return table.select(names).append_column("cluster_label", pa.array(label))
+
+    return run
+
+
+def cluster(points: DataFrame, cfg: ClustererConfig = ClustererConfig(), by: str = "frame") -> DataFrame:
+    """``points`` with ``cluster_label``: from 0 in each frame in the order of the lowest point_index; -1 for clusters under ``min_cluster_size`` points and for coordinates that are not finite.
+
+    by ``frame``: a frame is clustered in one task, in one shuffle (a sensor's turn has some 200,000 points); by ``edges``: voxels and their edges are
+    tables and components are found across tasks, for frames of any size.
+    """
+    if by == "frame":
+        binned = _binned(points.withColumn("finite", finite()), cfg).select(*points.columns, *VOXEL[1:], "finite")
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema)
+        return binned.groupBy("frame_id").applyInArrow(_frame_labels(cfg, points.columns), f"{fields}, cluster_label int")
     voxelized = voxelize(points, cfg).withColumn("node", _node())
     reached = connected_components(voxel_edges(distinct_voxels(voxelized), cfg))
     rooted = voxelized.join(reached, "node", "left").select(*points.columns, F.coalesce("component", "node").alias("root"))
     sizes = rooted.groupBy("frame_id", "root").agg(F.count("*").alias("n"), F.min("point_index").alias("first")).where(F.col("n") >= cfg.min_cluster_size)
     order = F.dense_rank().over(W.partitionBy("frame_id").orderBy("first")) - 1
     labels = sizes.select("frame_id", "root", order.cast("int").alias("cluster_label"))
-    return rooted.join(labels, ["frame_id", "root"], "left").select(*points.columns, F.coalesce("cluster_label", F.lit(-1)).alias("cluster_label"))
+    told = rooted.join(labels, ["frame_id", "root"], "left").select(*points.columns, F.coalesce("cluster_label", F.lit(-1)).alias("cluster_label"))
+    return told.union(points.where(~finite()).withColumn("cluster_label", F.lit(-1)))
 
 
 def cluster_extent(clustered: DataFrame) -> DataFrame:

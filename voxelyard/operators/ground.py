@@ -24,8 +24,8 @@ def polar_grid(points: DataFrame, cfg: SegmenterConfig = SegmenterConfig()) -> D
     """Points within the height, distance and image bands, with polar cell and image pixel. NaN coordinates fall out with the bands."""
     x, y, z = F.col("x"), F.col("y"), F.col("z")
     low, high = -cfg.sensor_height_m + cfg.z_min_m, -cfg.sensor_height_m + cfg.z_max_m
-    finite = ~(F.isnan("x") | F.isnan("y") | F.isnan("z"))
-    near = points.where(finite & z.between(low, high)).withColumn("distance", planar_range(x, y))
+    known = ~(F.isnan("x") | F.isnan("y") | F.isnan("z"))
+    near = points.where(known & z.between(low, high)).withColumn("distance", planar_range(x, y))
     near = near.where(F.col("distance").between(cfg.min_distance_m, cfg.max_distance_m))
     cells = near.withColumn("radial_index", truncated(F.col("distance") / cfg.grid_radial_spacing_m)).where(F.col("radial_index") < cfg.rings)
     cells = cells.withColumn("azimuth", atan2_approx(y, x) + F.when(y < 0, TWO_PI).otherwise(0.0))
@@ -209,10 +209,11 @@ def convolve_simultaneous(image: DataFrame, cfg: SegmenterConfig = SegmenterConf
     return image.join(voted, PIXEL, "left").withColumn("label", F.coalesce("voted", "label")).drop("voted")
 
 
-def convolve_in_order(image: DataFrame, cfg: SegmenterConfig = SegmenterConfig()) -> DataFrame:
+def convolve_in_order(image: DataFrame, cfg: SegmenterConfig = SegmenterConfig(), stale_border: bool = False) -> DataFrame:
     """As ``convolve_simultaneous``, but in scan order: a conflict pixel that was voted already votes for those after it.
 
-    The order makes a frame one sequential unit; its image has at most height x width pixels.
+    The order makes a frame one sequential unit; its image has at most height x width pixels. With ``stale_border`` a place beyond the image keeps the vote that it
+    had for the conflict pixel before (though not in the sum that a vote needs), as the original does; otherwise it has none.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -222,18 +223,22 @@ def convolve_in_order(image: DataFrame, cfg: SegmenterConfig = SegmenterConfig()
         now = label.copy()
         for p in conflict:
             now[at[p]] = -1
+        votes = dict.fromkeys(AROUND, (0.0, UNKNOWN))
         for p in sorted(conflict):
-            i, weights, total = at[p], {GROUND: 0.0, OBSTACLE: 0.0}, 0.0
+            i, total = at[p], 0.0
             for d in AROUND:
-                j = at.get((p[0] + d[0], p[1] + d[1]))
+                q = p[0] + d[0], p[1] + d[1]
+                if stale_border and not (0 <= q[0] < cfg.image_height and 0 <= q[1] < cfg.image_width):
+                    continue
+                j, votes[d] = at.get(q), (0.0, UNKNOWN)
                 if j is None or (gap := math.dist(xyz[i], xyz[j])) > cfg.kernel_threshold_distance_m:
                     continue
                 w = math.exp(-cfg.amplification_factor * gap)
                 total += w
-                if now[j] in weights:
-                    weights[now[j]] += w
+                votes[d] = w, now[j]
             if total > 2.0**-23:
-                now[i] = OBSTACLE if weights[OBSTACLE] > weights[GROUND] else GROUND
+                obstacle, ground = (round(math.fsum(w for w, k in votes.values() if k == own), 12) for own in (OBSTACLE, GROUND))
+                now[i] = OBSTACLE if obstacle > ground else GROUND
         return pdf.assign(label=np.where(now < 0, UNKNOWN, now))
 
     return image.groupBy("frame_id").applyInPandas(run, image.schema)
@@ -256,10 +261,5 @@ def segment(points: DataFrame, cfg: SegmenterConfig = SegmenterConfig(), plane:
     return point_labels(points, image)
 
 
-def split(labelled: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Ground, obstacle and unknown points: a partition of the input."""
-    return tuple(labelled.where(F.col("label") == k) for k in (GROUND, OBSTACLE, UNKNOWN))
-
-
 def label_name(label: Column) -> Column:
     return F.when(label == GROUND, "ground").when(label == OBSTACLE, "obstacle").otherwise("unknown")

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,8 +14,8 @@ from voxelyard.config import VEHICLES, VehicleConfig
 from voxelyard.functions.geometry import polygon_area
 
 GROUP = ["frame_id", "cluster_label"]
-#: Twice the area (square metres) below which three points count as collinear: rounding of sums of that size.
-FLAT = 1e-9
+#: Sine of the turn below which three points count as collinear: what rounding makes of it.
+FLAT = 1e-12
 HULL = "frame_id long, cluster_label int, hull array<struct<x:double,y:double>>"
 
 
@@ -27,7 +28,10 @@ def hull_order(x: np.ndarray, y: np.ndarray) -> list[int]:
     def chain(indices: list[int]) -> list[int]:
         out: list[int] = []
         for i in indices:
-            while len(out) > 1 and (x[out[-1]] - x[out[-2]]) * (y[i] - y[out[-2]]) - (y[out[-1]] - y[out[-2]]) * (x[i] - x[out[-2]]) <= FLAT:
+            while len(out) > 1:
+                ax, ay, bx, by = x[out[-1]] - x[out[-2]], y[out[-1]] - y[out[-2]], x[i] - x[out[-2]], y[i] - y[out[-2]]
+                if ax * by - ay * bx > FLAT * (abs(ax) + abs(ay)) * (abs(bx) + abs(by)):
+                    break
                 out.pop()
             out.append(i)
         return out
@@ -53,19 +57,21 @@ def convex_hulls(clustered: DataFrame) -> DataFrame:
 
 
 def min_area_boxes(hulls: DataFrame) -> DataFrame:
-    """Smallest enclosing rectangle over all hull edges: ``box`` with corners, area and angle; null under three vertices."""
-    n = F.size("hull")
-    both = hulls.where(n >= 3).select(*GROUP, "hull", F.posexplode("hull").alias("edge", "p"))
-    q = F.element_at("hull", F.pmod(F.col("edge") + 1, n).cast("int") + 1)
-    edges = both.select(*GROUP, "edge", F.col("p.x").alias("px"), F.col("p.y").alias("py"), (q["x"] - F.col("p.x")).alias("dx"), (q["y"] - F.col("p.y")).alias("dy"), F.explode("hull").alias("v"))
-    edges = edges.withColumn("size", F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))).where("size >= 1e-6D")
-    ux, uy = F.col("dx") / F.col("size"), F.col("dy") / F.col("size")
-    vx, vy = F.col("v.x") - F.col("px"), F.col("v.y") - F.col("py")
-    spans = edges.select(*GROUP, "edge", "px", "py", ux.alias("ux"), uy.alias("uy"), (vx * ux + vy * uy).alias("u"), (vy * ux - vx * uy).alias("w"))
-    frame = [F.first(k).alias(k) for k in ("px", "py", "ux", "uy")]
-    boxes = spans.groupBy(*GROUP, "edge").agg(F.min("u").alias("u0"), F.max("u").alias("u1"), F.min("w").alias("w0"), F.max("w").alias("w1"), *frame)
-    boxes = boxes.withColumn("area", (F.col("u1") - F.col("u0")) * (F.col("w1") - F.col("w0")))
-    best = boxes.groupBy(*GROUP).agg(F.min_by(F.struct("px", "py", "ux", "uy", "u0", "u1", "w0", "w1", "area"), F.struct("area", "edge")).alias("b"))
+    """Smallest enclosing rectangle over all hull edges: ``box`` with corners, area and angle; none under three vertices. All within the row: nothing is shuffled.
+
+    Of equal areas (to nine places: all edges of a triangle) the one with the shorter longest side, then the first edge.
+    """
+    hull = F.col("hull")
+    shifted = F.concat(F.slice(hull, 2, F.greatest(F.size(hull) - 1, F.lit(0))), F.slice(hull, 1, 1))
+    named = lambda **k: F.struct(*[v.alias(n) for n, v in k.items()])
+    sides = F.zip_with(hull, shifted, lambda p, q: named(px=p["x"], py=p["y"], dx=q["x"] - p["x"], dy=q["y"] - p["y"]))
+    sized = F.transform(sides, lambda e, i: named(edge=i, px=e["px"], py=e["py"], dx=e["dx"], dy=e["dy"], size=F.sqrt(e["dx"] * e["dx"] + e["dy"] * e["dy"])))
+    turned = F.transform(F.filter(sized, lambda e: e["size"] >= 1e-6), lambda e: named(edge=e["edge"], px=e["px"], py=e["py"], ux=e["dx"] / e["size"], uy=e["dy"] / e["size"]))
+    along = lambda e: F.transform(hull, lambda v: (v["x"] - e["px"]) * e["ux"] + (v["y"] - e["py"]) * e["uy"])
+    across = lambda e: F.transform(hull, lambda v: (v["y"] - e["py"]) * e["ux"] - (v["x"] - e["px"]) * e["uy"])
+    spans = F.transform(turned, lambda e: named(e=e, u0=F.array_min(along(e)), u1=F.array_max(along(e)), w0=F.array_min(across(e)), w1=F.array_max(across(e))))
+    boxes = F.transform(spans, lambda b: named(k1=F.round((b["u1"] - b["u0"]) * (b["w1"] - b["w0"]), 9), k2=F.round(F.greatest(b["u1"] - b["u0"], b["w1"] - b["w0"]), 9), edge=b["e"]["edge"], area=(b["u1"] - b["u0"]) * (b["w1"] - b["w0"]), px=b["e"]["px"], py=b["e"]["py"], ux=b["e"]["ux"], uy=b["e"]["uy"], u0=b["u0"], u1=b["u1"], w0=b["w0"], w1=b["w1"]))
+    best = hulls.where(F.size(hull) >= 3).select(*GROUP, F.array_min(boxes).alias("b")).where("b is not null")
     return best.select(*GROUP, box_struct(F.col("b")).alias("box"))
 
 
@@ -95,33 +101,35 @@ def pca_boxes(clustered: DataFrame) -> DataFrame:
 def antipodal_of(x: list[float], y: list[float]) -> list[tuple[int, int]]:
     """Antipodal index pairs i < j of a counter-clockwise hull: vertices that parallel support lines can touch at once.
 
-    The lines that touch vertex i have the directions between its two edges. j is antipodal if the reverse of one of them lies between
-    the edges of j.
+    A line along an edge touches its two vertices; the line opposite touches the vertex at which the edges turn back, or both ends of a parallel edge. Both pointers go round once.
     """
     n = len(x)
     if n < 3:
         return [(0, 1)] if n == 2 else []
-    edges = [(x[(k + 1) % n] - x[k], y[(k + 1) % n] - y[k]) for k in range(n)]
-    cones = [(edges[k - 1], edges[k]) for k in range(n)]
-
-    def between(cone: tuple, d: tuple[float, float]) -> bool:
-        (ax, ay), (bx, by) = cone
-        return ax * d[1] - ay * d[0] >= 0 and d[0] * by - d[1] * bx >= 0
-
-    def meets(i: int, j: int) -> bool:
-        return any(between(cones[j], (-dx, -dy)) for dx, dy in cones[i]) or any(between(cones[i], (-dx, -dy)) for dx, dy in cones[j])
-
-    return [(i, j) for i in range(n) for j in range(i + 1, n) if meets(i, j)]
+    edge = [(x[(k + 1) % n] - x[k], y[(k + 1) % n] - y[k]) for k in range(n)]
+    turn = lambda k, j: edge[k][0] * edge[j % n][1] - edge[k][1] * edge[j % n][0]
+    found, j = set(), 1
+    for k in range(n):
+        j = max(j, k + 1)
+        while j < k + n and turn(k, j) > 0:
+            j += 1
+        for opposite in (j, j + 1) if turn(k, j) == 0 else (j,):
+            found |= {(min(a % n, opposite % n), max(a % n, opposite % n)) for a in (k, k + 1) if a % n != opposite % n}
+    return sorted(found)
 
 
 def antipodal_pairs(hulls: DataFrame) -> DataFrame:
     """``pairs array<struct<index_1, index_2>>`` for each hull."""
 
-    @F.pandas_udf("array<struct<index_1:int,index_2:int>>")
-    def pairs(hull: pd.Series) -> pd.Series:
-        return hull.map(lambda h: [{"index_1": i, "index_2": j} for i, j in antipodal_of([p["x"] for p in h], [p["y"] for p in h])])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("hull")
+            x, y, ends = lists.flatten().field("x").to_pylist(), lists.flatten().field("y").to_pylist(), np.cumsum([0, *lists.value_lengths().to_pylist()]).tolist()
+            found = [[{"index_1": i, "index_2": j} for i, j in antipodal_of(x[a:b], y[a:b])] for a, b in zip(ends, ends[1:], strict=False)]
+            pairs = pa.array(found, pa.list_(pa.struct([("index_1", pa.int32()), ("index_2", pa.int32())])))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in GROUP), lists, pairs], [*GROUP, "hull", "pairs"])
 
-    return hulls.select(*GROUP, pairs("hull").alias("pairs"))
+    return hulls.select(*GROUP, "hull").mapInArrow(run, HULL + ", pairs array<struct<index_1:int,index_2:int>>")
 
 
 def classify_vehicles(shapes: DataFrame, cfg: VehicleConfig = VehicleConfig()) -> DataFrame:

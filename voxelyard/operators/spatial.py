@@ -10,27 +10,33 @@ from pyspark.sql.window import Window as W
 
 from voxelyard.config import NOISE, VALID, NoiseConfig
 from voxelyard.functions.geometry import planar_range
+from voxelyard.operators.clustering import finite
 
 
-def radius_join(queries: DataFrame, targets: DataFrame, radius: Column, cell: float) -> DataFrame:
-    """Pairs of a frame within a distance that may differ by query, bounds included: ``q_index, t_index, d2``.
+def radius_join(queries: DataFrame, targets: DataFrame, radius: Column) -> DataFrame:
+    """Pairs of a frame within a distance that may differ by query, bounds included: ``q_index, t_index, d2``. Coordinates that are not finite meet nothing.
 
-    Targets lie in one cubic cell each; a query asks for the cells that its ball's box touches, so cells meet in an equi-join.
+    Each radius belongs to the grid whose cells are the next power of two wide, so a query asks for 27 cells at most, whatever its radius; targets
+    stand in the grids that queries of their frame ask for. Cells meet in an equi-join.
     """
-    r = queries.withColumn("__r", radius)
-    span = lambda k: F.sequence(F.floor((F.col(k) - F.col("__r")) / cell), F.floor((F.col(k) + F.col("__r")) / cell))
-    asked = r.select("frame_id", F.col("point_index").alias("q_index"), *[F.col(k).alias(f"q{k}") for k in "xyz"], "__r", *[span(k).alias(f"s{k}") for k in "xyz"])
+    ball = radius.cast("double")
+    r = queries.where(finite()).withColumn("__r", ball).withColumn("__g", F.ceil(F.log2(F.greatest(ball, F.lit(1e-6)))).cast("int"))
+    size = F.pow(F.lit(2.0), F.col("__g"))
+    span = lambda k: F.sequence(F.floor((F.col(k) - F.col("__r")) / size), F.floor((F.col(k) + F.col("__r")) / size))
+    asked = r.select("frame_id", F.col("point_index").alias("q_index"), *[F.col(k).alias(f"q{k}") for k in "xyz"], "__r", "__g", *[span(k).alias(f"s{k}") for k in "xyz"])
     for k in "xyz":
         asked = asked.withColumn(f"c{k}", F.explode(f"s{k}")).drop(f"s{k}")
-    held = targets.select("frame_id", F.col("point_index").alias("t_index"), "x", "y", "z", *[F.floor(F.col(k) / cell).alias(f"c{k}") for k in "xyz"])
-    met = asked.join(held, ["frame_id", "cx", "cy", "cz"])
+    grids = r.select("frame_id", "__g").distinct()
+    held = targets.where(finite()).select("frame_id", F.col("point_index").alias("t_index"), "x", "y", "z").join(grids, "frame_id")
+    held = held.select("*", *[F.floor(F.col(k) / size).alias(f"c{k}") for k in "xyz"])
+    met = asked.join(held, ["frame_id", "__g", "cx", "cy", "cz"])
     d2 = sum(((F.col(k) - F.col(f"q{k}")) * (F.col(k) - F.col(f"q{k}")) for k in "yz"), (F.col("x") - F.col("qx")) * (F.col("x") - F.col("qx")))
     return met.withColumn("d2", d2).where(F.col("d2") <= F.col("__r") * F.col("__r")).select("frame_id", "q_index", "t_index", "d2")
 
 
 def radius_search(points: DataFrame, radius: float) -> DataFrame:
     """All pairs of a frame within the radius, each point with itself."""
-    return radius_join(points, points, F.lit(radius), max(radius, 1e-6))
+    return radius_join(points, points, F.lit(float(radius)))
 
 
 def radius_counts(points: DataFrame, radius: float, most: int | None = None) -> DataFrame:
@@ -39,13 +45,13 @@ def radius_counts(points: DataFrame, radius: float, most: int | None = None) ->
     return counts if most is None else counts.withColumn("n", F.least("n", F.lit(most)))
 
 
-def radius_any(points: DataFrame, radius: float, most: int) -> DataFrame:
-    """Up to ``most`` neighbours of each point: the first by index (which of those in reach is not specified)."""
-    w = W.partitionBy("frame_id", "q_index").orderBy("t_index")
+def radius_any(points: DataFrame, radius: float, most: int, nearest_first: bool = False) -> DataFrame:
+    """Up to ``most`` neighbours of each point: the first by index, or the nearest (ties by index); the window keeps so many rows of a point only."""
+    w = W.partitionBy("frame_id", "q_index").orderBy(*(["d2"] if nearest_first else []), "t_index")
     return radius_search(points, radius).withColumn("k", F.row_number().over(w)).where(F.col("k") <= most).drop("k")
 
 
-def nearest(queries: DataFrame, targets: DataFrame, k: int, id_col: str, vector_col: str, block: int = 4096, group_col: str | None = None) -> DataFrame:
+def nearest(queries: DataFrame, targets: DataFrame, k: int, id_col: str, vector_col: str, block: int = 1 << 16, group_col: str | None = None) -> DataFrame:
     """Exact k nearest of each query vector: ``q_id, t_id, d2, rank``; ties go to the smaller id; a row finds itself.
 
     Queries are taken in blocks of bounded size. A block goes to every partition of the targets, which answer with their own k best, and
@@ -93,7 +99,7 @@ def _block_search(rows: pd.DataFrame, k: int):
     return run
 
 
-def vector_radius_counts(queries: DataFrame, targets: DataFrame, radius: float, id_col: str, vector_col: str, block: int = 4096) -> DataFrame:
+def vector_radius_counts(queries: DataFrame, targets: DataFrame, radius: float, id_col: str, vector_col: str, block: int = 1 << 16) -> DataFrame:
     """``(q_id, n)``: how many targets lie within the radius of each query vector, bounds included; queries with none are absent.
 
     Every target is compared, in blocks of queries as in ``nearest``; each partition answers with one count per query.
@@ -132,7 +138,7 @@ def _block_counts(rows: pd.DataFrame, most: float):
 def noise_labels(points: DataFrame, cfg: NoiseConfig = NoiseConfig()) -> DataFrame:
     """Add ``noise``: 1 where fewer than ``min_neighbours`` points, itself included, lie within a radius that grows with range."""
     radius = F.greatest(planar_range(F.col("x"), F.col("y")) * cfg.radius_multiplier_m_per_m, F.lit(cfg.min_radius_m))
-    counts = radius_join(points, points, radius, 0.5).groupBy("frame_id", F.col("q_index").alias("point_index")).agg(F.count("*").alias("neighbours"))
+    counts = radius_join(points, points, radius).groupBy("frame_id", F.col("q_index").alias("point_index")).agg(F.count("*").alias("neighbours"))
     told = points.join(counts, ["frame_id", "point_index"], "left")
     few = F.coalesce("neighbours", F.lit(0)) < cfg.min_neighbours
     return told.withColumn("noise", F.when(few, NOISE).otherwise(VALID)).drop("neighbours")

@@ -6,10 +6,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from voxelyard.config import OBSTACLE, ClustererConfig, SegmenterConfig, VehicleConfig
 from voxelyard.functions.geometry import polygon_area
-from voxelyard.operators.clustering import cluster, cluster_extent
+from voxelyard.operators.clustering import cluster, cluster_extent, finite, spherical
 from voxelyard.operators.ground import segment
 from voxelyard.operators.polygons import GROUP, classify_vehicles, convex_hulls, min_area_boxes, outlines
 from voxelyard.sources.workdir import write_table
@@ -53,6 +54,29 @@ def describe(clusters: DataFrame) -> DataFrame:
     return cluster_extent(clusters).join(convex_hulls(clusters), GROUP).withColumn("hull_area", polygon_area(F.col("hull")))
 
 
+def cluster_counts(clusters: DataFrame) -> DataFrame:
+    """Clusters by frame, those under the least size left out."""
+    return clusters.where("cluster_label >= 0").groupBy("frame_id").agg(F.count_distinct("cluster_label").alias("n_clusters"))
+
+
+def frame_extents(points: DataFrame) -> DataFrame:
+    """Largest range, azimuth and elevation of each frame."""
+    return spherical(points.where(finite())).groupBy("frame_id").agg(*[F.max(k).alias(f"max_{k}") for k in ("range", "azimuth", "elevation")])
+
+
+def hull_centroids(shapes: DataFrame) -> DataFrame:
+    """Mean of the vertices of each hull."""
+    n = F.size("hull")
+    mean = lambda k: F.aggregate(F.transform("hull", lambda v: v[k]), F.lit(0.0), lambda s, v: s + v) / n
+    return shapes.where(n > 0).select(*GROUP, mean("x").alias("x"), mean("y").alias("y"))
+
+
+def in_order(points: DataFrame, key: str) -> DataFrame:
+    """Points with their ``place`` in their frame when sorted by a key (ring, cluster) and then by index."""
+    w = W.partitionBy("frame_id").orderBy(key, "point_index")
+    return points.withColumn("place", (F.row_number().over(w) - 1).cast("long"))
+
+
 def frame_counts(labels: DataFrame) -> DataFrame:
     """Points of each label by frame."""
     sums = [F.sum((F.col("label") == k).cast("long")).alias(n) for k, n in ((1, "n_ground"), (2, "n_obstacle"), (0, "n_unknown"))]

@@ -75,6 +75,11 @@ PARTS: dict[str, tuple[str, str]] = {
       join candidates u on u.frame_id = t.frame_id and u.rank = t.r2 join candidates v on v.frame_id = t.frame_id and v.rank = t.r3)
     where sq >= 1e-5 and nz / size >= {d(CFG.least_normal_z)}) p
   join candidates q using (frame_id) group by all) where inliers > 0) where best = 1""",
+    ),
+    "drawn": (
+        "candidates",
+        f"""select frame_id, 0 as i, n, 1 as pos, l, l[1] as r2, {{third1}} as r3 from (select frame_id, max(n) as n, list_transform([{{stream}}], lambda r: (r * max(n)) >> 32) as l from candidates group by frame_id having max(n) >= 2)
+  union all select frame_id, i + 1, n, pos + {{used}}, l, l[pos + {{used}}], {{third2}} from drawn where i + 1 < {CFG.ransac_iterations}""",
     ),
     "corrected": (
         "labelled planes",
@@ -84,6 +89,76 @@ PARTS: dict[str, tuple[str, str]] = {
 }
 
 
+def twister(seed: int, n: int) -> list[int]:
+    """The first n numbers of the 32-bit Mersenne Twister (Matsumoto and Nishimura, 1998)."""
+    state = [seed]
+    for i in range(1, 624):
+        state.append((1812433253 * (state[-1] ^ state[-1] >> 30) + i) % 2**32)
+    out = []
+    while len(out) < n:
+        for i in range(624):
+            y = state[i] & 0x80000000 | state[(i + 1) % 624] & 0x7FFFFFFF
+            state[i] = state[(i + 397) % 624] ^ y >> 1 ^ (0x9908B0DF if y & 1 else 0)
+        for y in state:
+            y ^= y >> 11
+            y ^= y << 7 & 0x9D2C5680
+            y ^= y << 15 & 0xEFC60000
+            out.append(y ^ y >> 18)
+    return out[:n]
+
+
+def _plane_sql(pairs: str) -> str:
+    """The best of the planes through pairs of ranks (frame_id, i, r2, r3): the text that both ways of drawing share."""
+    head, _, tail = PARTS["planes"][1].partition("from (select frame_id, n, i,")
+    return f"{head}from (select frame_id, i, {d(CFG.sensor_height_m)} as h, r2, r3 from {pairs}) t{tail[tail.index(') t') + 3 :]}"
+
+
+def _extra(at: str) -> str:
+    """How many numbers a pair takes from place ``at``: the third point is drawn again while it equals the second."""
+    return f"(case when l[{at} + 1] <> l[{at}] then 2 when l[{at} + 2] <> l[{at}] then 3 when l[{at} + 3] <> l[{at}] then 4 else 5 end)"
+
+
+def _third(at: str) -> str:
+    return f"l[{at} + {_extra(at)} - 1]"
+
+
+_used = _extra("pos")
+PARTS["drawn_reach"] = (
+    "candidates",
+    PARTS.pop("drawn")[1].replace("from drawn where", "from drawn_reach where").format(third1=_third("1"), stream=", ".join(map(str, twister(42, 4 * CFG.ransac_iterations))), used=_used, third2=_third(f"(pos + {_used})")),
+)
+PARTS["drawn_planes"] = ("candidates drawn_reach", _plane_sql("drawn_reach"))
+PARTS["drawn_corrected"] = ("labelled drawn_planes", PARTS["corrected"][1].replace("left join planes", "left join drawn_planes"))
+
+
+def _ordered(name: str, image: str, conflict: str) -> dict[str, tuple[str, str]]:
+    """Votes in scan order: each step of the recursion votes one pixel of each frame and appends its label to the frame's list."""
+    gap = "sqrt((c.x - n.x) * (c.x - n.x) + (c.y - n.y) * (c.y - n.y) + (c.z - n.z) * (c.z - n.z))"
+    weight = f"exp(-{d(CFG.amplification_factor)} * {gap})"
+    said = lambda k: f"list_sum(list_transform(list_filter(k.earlier, lambda e: s.l[e.m] = {k}), lambda e: e.w))"
+    vote = lambda k, own: f"round(k.w{own} + coalesce({said(k)}, 0), 12)"
+    return {
+        f"{name}_places": (conflict, f"select *, row_number() over (partition by frame_id order by height_index, width_index) as k from {conflict}"),
+        f"{name}_prepared": (
+            f"{image} {name}_places",
+            f"""select c.frame_id, c.k, coalesce(sum({weight}) filter (n.m is null and n.label = 2), 0) as w2, coalesce(sum({weight}) filter (n.m is null and n.label = 1), 0) as w1, coalesce(sum({weight}), 0) as w,
+  list(struct_pack(m := n.m, w := {weight})) filter (n.m < c.k) as earlier from {name}_places c left join (select i.*, p.k as m from {image} i left join {name}_places p using (frame_id, height_index, width_index)) n
+  on n.frame_id = c.frame_id and abs(n.height_index - c.height_index) <= 2 and abs(n.width_index - c.width_index) <= 2 and (n.height_index, n.width_index) <> (c.height_index, c.width_index)
+  and {gap} <= {d(CFG.kernel_threshold_distance_m)} group by c.frame_id, c.k""",
+        ),
+        f"{name}_reach": (
+            f"{name}_prepared",
+            f"""select frame_id, 0::bigint as k, []::int[] as l from {name}_prepared group by frame_id union all
+  select s.frame_id, s.k + 1, list_append(s.l, case when k.w <= {d(2.0**-23)} then 0 when {vote(2, 2)} > {vote(1, 1)} then 2 else 1 end) from {name}_reach s join {name}_prepared k on k.frame_id = s.frame_id and k.k = s.k + 1""",
+        ),
+        f"{name}_voted": (
+            f"{image} {name}_places {name}_reach",
+            f"""select i.* replace (coalesce(v.label, i.label) as label) from {image} i left join (select p.frame_id, p.height_index, p.width_index, t.l[p.k] as label from {name}_places p join (select frame_id, max_by(l, k) as l from {name}_reach group by frame_id) t using (frame_id)) v
+  using (frame_id, height_index, width_index)""",
+        ),
+    }
+
+
 def _image(source: str) -> str:
     return f"""select frame_id, height_index, width_index, point_index, x, y, z, label from (select *, row_number() over (
   partition by frame_id, height_index, width_index order by x * x + y * y, azimuth_index, radial_index, point_index) as k from {source}) where k = 1"""
@@ -112,9 +187,9 @@ def _final(image: str) -> str:
 
 
 def _voxels(source: str) -> str:
-    return f"""select frame_id, point_index, x, y, z, floor(round(sqrt(x * x + y * y + z * z), 9) / {d(VOX.voxel_range_m)})::int as range_index,
-  floor(round(case when atan2(y, x) < 0 then degrees(atan2(y, x)) + 360e0 else degrees(atan2(y, x)) end, 9) / {d(VOX.voxel_azimuth_deg)})::int as azimuth_index,
-  floor((round(degrees(atan2(z, sqrt(x * x + y * y))), 9) + 90e0) / {d(VOX.voxel_elevation_deg)})::int as elevation_index,
+    return f"""select frame_id, point_index, x, y, z, floor(round(sqrt(x * x + y * y + z * z), 9) / {d(VOX.voxel_range_m)})::bigint as range_index,
+  floor(round(case when atan2(y, x) < 0 then degrees(atan2(y, x)) + 360e0 else degrees(atan2(y, x)) end, 9) / {d(VOX.voxel_azimuth_deg)})::bigint as azimuth_index,
+  floor((round(degrees(atan2(z, sqrt(x * x + y * y))), 9) + 90e0) / {d(VOX.voxel_elevation_deg)})::bigint as elevation_index,
   ((frame_id::hugeint * 16777216 + range_index) * 65536 + azimuth_index) * 65536 + elevation_index as node from {source}"""
 
 
@@ -136,9 +211,10 @@ def _hull(clusters: str) -> str:
     d_ = f"(select distinct frame_id, cluster_label, x, y from {clusters} where cluster_label >= 0)"
     same = "r.frame_id = p.frame_id and r.cluster_label = p.cluster_label"
     turn = "(q.x - p.x) * (r.y - p.y) - (q.y - p.y) * (r.x - p.x)"
+    flat = "1e-12 * (abs(q.x - p.x) + abs(q.y - p.y)) * (abs(r.x - p.x) + abs(r.y - p.y))"
     along = "(r.x - p.x) * (q.x - p.x) + (r.y - p.y) * (q.y - p.y)"
     return f"""select p.frame_id, p.cluster_label, p.x, p.y, q.x as x2, q.y as y2 from {d_} p join {d_} q on q.frame_id = p.frame_id and q.cluster_label = p.cluster_label and (p.x, p.y) <> (q.x, q.y)
-  where not exists (select 1 from {d_} r where {same} and ({turn} < -1e-9 or (abs({turn}) <= 1e-9 and ({along} < 0 or {along} > (q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y)))))"""
+  where not exists (select 1 from {d_} r where {same} and ({turn} < -{flat} or (abs({turn}) <= {flat} and ({along} < 0 or {along} > (q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y)))))"""
 
 
 for prefix, source, final in (("raw", "labelled", "raw_image"), ("full", "corrected", "full_voted")):
@@ -146,8 +222,13 @@ for prefix, source, final in (("raw", "labelled", "raw_image"), ("full", "correc
     PARTS[f"{prefix}_conflict"] = (f"{prefix}_image", _conflict(f"{prefix}_image"))
     PARTS[f"{prefix}_voted"] = (f"{prefix}_image {prefix}_conflict", _voted(f"{prefix}_image", f"{prefix}_conflict"))
     PARTS[f"{prefix}_final"] = (f"points {final}", _final(final))
+PARTS["drawn_image"] = ("drawn_corrected", _image("drawn_corrected"))
+PARTS["drawn_conflict"] = ("drawn_image", _conflict("drawn_image"))
+PARTS |= _ordered("turn", "raw_image", "raw_conflict") | _ordered("both", "drawn_image", "drawn_conflict")
+PARTS["drawn_final"] = ("points both_voted", _final("both_voted"))
 PARTS["obstacles"] = ("full_final", "select * from full_final where label = 2")
-for prefix, source in (("obj", "objects"), ("obs", "obstacles")):
+PARTS["drawn_obstacles"] = ("drawn_final", "select * from drawn_final where label = 2")
+for prefix, source in (("obj", "objects"), ("obs", "obstacles"), ("dob", "drawn_obstacles")):
     PARTS[f"{prefix}_voxels"] = (source, _voxels(source))
     PARTS[f"{prefix}_links"] = (f"{prefix}_voxels", _links(f"{prefix}_voxels"))
     PARTS[f"{prefix}_reach"] = (f"{prefix}_links", f"select distinct src as n, src as m from {prefix}_links union select e.dst, t.m from {prefix}_reach t join {prefix}_links e on e.src = t.n")
@@ -157,13 +238,20 @@ for prefix, source in (("obj", "objects"), ("obs", "obstacles")):
     PARTS[f"{prefix}_ring"] = (f"{prefix}_hull", f"select * from (select *, count(*) over (partition by frame_id, cluster_label) as n from {prefix}_hull) where n >= 3")
     PARTS[f"{prefix}_extent"] = (f"{prefix}_clusters", f"select frame_id, cluster_label, count(*) as n_points, min(z) as z_min, max(z) as z_max from {prefix}_clusters where cluster_label >= 0 group by all")
     PARTS[f"{prefix}_area"] = (f"{prefix}_ring", f"select frame_id, cluster_label, abs(sum(x * y2 - x2 * y)) / 2 as area, count(*) as n from {prefix}_ring group by all")
-PARTS["boxes"] = (
-    "obj_ring",
-    """select frame_id, cluster_label, arg_min(struct_pack(area := area, l := greatest(su, sw), s := least(su, sw)), area) as b from (
-  select e.frame_id, e.cluster_label, e.x, e.y, (max(t.u) - min(t.u)) as su, (max(t.w) - min(t.w)) as sw, su * sw as area from (
-    select *, sqrt((x2 - x) * (x2 - x) + (y2 - y) * (y2 - y)) as len, (x2 - x) / len as ux, (y2 - y) / len as uy from obj_ring) e,
-  lateral (select (v.x - e.x) * e.ux + (v.y - e.y) * e.uy as u, (v.y - e.y) * e.ux - (v.x - e.x) * e.uy as w from obj_ring v where v.frame_id = e.frame_id and v.cluster_label = e.cluster_label) t
-  where e.len >= 1e-6 group by all) group by all""",
+for prefix in ("obj", "obs"):
+    PARTS[f"{prefix}_boxes"] = (
+        f"{prefix}_ring",
+        f"""select frame_id, cluster_label, arg_min(struct_pack(area := area, l := greatest(su, sw), s := least(su, sw), px := px, py := py, ux := ux, uy := uy, u0 := u0, u1 := u1, w0 := w0, w1 := w1), (round(area, 9), round(greatest(su, sw), 9))) as b from (
+  select e.frame_id, e.cluster_label, e.x as px, e.y as py, any_value(e.ux) as ux, any_value(e.uy) as uy, min(t.u) as u0, max(t.u) as u1, min(t.w) as w0, max(t.w) as w1, u1 - u0 as su, w1 - w0 as sw, su * sw as area from (
+    select *, sqrt((x2 - x) * (x2 - x) + (y2 - y) * (y2 - y)) as len, (x2 - x) / len as ux, (y2 - y) / len as uy from {prefix}_ring) e,
+  lateral (select (v.x - e.x) * e.ux + (v.y - e.y) * e.uy as u, (v.y - e.y) * e.ux - (v.x - e.x) * e.uy as w from {prefix}_ring v where v.frame_id = e.frame_id and v.cluster_label = e.cluster_label) t
+  where e.len >= 1e-6 group by e.frame_id, e.cluster_label, e.x, e.y) group by all""",
+    )
+PARTS["pca"] = (
+    "obj_clusters",
+    """select frame_id, cluster_label, any_value(px) as px, any_value(py) as py, any_value(cos(t)) as ux, any_value(sin(t)) as uy, min(u) as u0, max(u) as u1, min(w) as w0, max(w) as w1 from (
+  select c.frame_id, c.cluster_label, m.px, m.py, m.t, (c.x - m.px) * cos(m.t) + (c.y - m.py) * sin(m.t) as u, (c.y - m.py) * cos(m.t) - (c.x - m.px) * sin(m.t) as w from obj_clusters c join (
+    select frame_id, cluster_label, avg(x) as px, avg(y) as py, atan2(2 * covar_samp(x, y), var_samp(x) - var_samp(y)) / 2 as t from obj_clusters where cluster_label >= 0 group by all having count(*) >= 2) m using (frame_id, cluster_label)) group by all""",
 )
 PARTS["runs"] = (
     "points",
@@ -202,11 +290,25 @@ def _colours(values: dict[str, tuple], otherwise: tuple | None = None) -> str:
     return ", ".join("case " + " ".join(f"when {k} then {v[i]}" for k, v in values.items()) + (f" else {otherwise[i]}" if otherwise else "") + f" end as {n}" for i, n in enumerate("rgb"))
 
 
-def _vehicles() -> str:
+def _corners(source: str) -> str:
+    """Corners of boxes by origin, axis and spans, with both sides."""
+    ends = " union all ".join(f"select *, {u} as u, {w} as w from {source}" for u in ("u0", "u1") for w in ("w0", "w1"))
+    place = "round(px + u * ux - w * uy, 6) + 0e0 as x, round(py + u * uy + w * ux, 6) + 0e0 as y"
+    return f"select frame_id, cluster_label, {place}, round(greatest(u1 - u0, w1 - w0), 6) + 0e0 as length, round(least(u1 - u0, w1 - w0), 6) + 0e0 as width from ({ends})"
+
+
+def _single(angle: str) -> str:
+    """The polynomial's text with 32-bit coefficients, and none of its steps wider."""
+    import re
+
+    return re.sub(r"(?<![\w.])(-?\d+\.\d+(?:e0)?)", r"(\1::float)", angle)
+
+
+def _vehicles(prefix: str = "obj") -> str:
     inside = lambda e, b: f"({e} > {d(b[0])} and {e} < {d(b[1])})"
     likely = f"n_points > {VEHICLES.min_points} and {inside('h', VEHICLES.height_m)} and {inside('area * h', VEHICLES.volume_m3)} and area > {d(VEHICLES.min_fill)} * b.area"
     whens = " ".join(f"when {inside('b.l', v.length)} and {inside('b.s', v.width)} and {inside('h', v.height)} and {inside('area * h', v.volume)} and {inside('area', v.area)} then {i}" for i, v in enumerate(CLASSES))
-    return f"select frame_id, cluster_label, case when {likely} then case {whens} end end as vehicle_class from (select *, z_max - z_min as h from obj_extent join obj_area using (frame_id, cluster_label) join boxes using (frame_id, cluster_label))"
+    return f"select frame_id, cluster_label, case when {likely} then case {whens} end end as vehicle_class from (select *, z_max - z_min as h from {prefix}_extent join {prefix}_area using (frame_id, cluster_label) join {prefix}_boxes using (frame_id, cluster_label))"
 
 
 RADIUS_PAIRS = f"""(select p.frame_id, p.point_index as q_index, t.point_index as t_index, (p.x - t.x) * (p.x - t.x) + (p.y - t.y) * (p.y - t.y) + (p.z - t.z) * (p.z - t.z) as d2
@@ -216,6 +318,10 @@ KNN = f"""(select *, row_number() over (partition by q_id order by d2, t_id)::in
   from embeddings q, embeddings t where q.vec_id % 20 = 0) qualify rank <= {NEAREST})"""
 
 
+EVERY = KNN[KNN.index("select q.vec_id") : KNN.index(") qualify")]
+SHAPES = "select frame_id, cluster_label, n_points, round(z_min, 6) + 0e0 as z_min, round(z_max, 6) + 0e0 as z_max, round(coalesce(area, 0), 6) + 0e0 as hull_area, coalesce(n, 0) * 6 as n_endpoints from {p}_extent left join {p}_area using (frame_id, cluster_label)"
+
+
 def oracle_sql() -> dict[str, str]:
     gap = "(p.x - t.x) * (p.x - t.x) + (p.y - t.y) * (p.y - t.y) + (p.z - t.z) * (p.z - t.z)"
     reach = "greatest(sqrt(p.x * p.x + p.y * p.y) * 0.02e0, 0.1e0)"
@@ -252,20 +358,48 @@ def oracle_sql() -> dict[str, str]:
         "cluster_extent": sql("obj_extent", "select frame_id, cluster_label, n_points, round(z_min, 6) + 0e0 as z_min, round(z_max, 6) + 0e0 as z_max from obj_extent"),
         "convex_hull_vertices": sql("obj_ring", "select frame_id, cluster_label, round(x, 6) + 0e0 as x, round(y, 6) + 0e0 as y from obj_ring"),
         "hull_area": sql("obj_area", "select frame_id, cluster_label, round(area, 6) + 0e0 as area from obj_area"),
-        "min_area_box": sql("boxes", "select frame_id, cluster_label, round(b.area, 6) + 0e0 as area from boxes"),
+        "min_area_box": sql("obj_boxes", "select frame_id, cluster_label, round(b.area, 6) + 0e0 as area from obj_boxes"),
         "pca_box": sql(
             "obj_clusters",
             """select frame_id, cluster_label, round((max(u) - min(u)) * (max(w) - min(w)), 6) + 0e0 as area from (
   select c.frame_id, c.cluster_label, (c.x - m.px) * cos(m.t) + (c.y - m.py) * sin(m.t) as u, (c.y - m.py) * cos(m.t) - (c.x - m.px) * sin(m.t) as w from obj_clusters c join (
     select frame_id, cluster_label, avg(x) as px, avg(y) as py, atan2(2 * covar_samp(x, y), var_samp(x) - var_samp(y)) / 2 as t from obj_clusters where cluster_label >= 0 group by all) m using (frame_id, cluster_label)) group by all""",
         ),
-        "vehicle_class": sql("obj_extent obj_area boxes", _vehicles()),
+        "vehicle_class": sql("obj_extent obj_area obj_boxes", _vehicles()),
         "outline_segments": sql("obj_ring obj_extent", "select frame_id, cluster_label, round(x, 6) + 0e0 as x, round(y, 6) + 0e0 as y, round(unnest([z_min, z_max, z_min, z_max, z_min, z_max]), 6) + 0e0 as z from obj_ring join obj_extent using (frame_id, cluster_label)"),
         "noise_dror": sql("points", f"select p.frame_id, p.point_index, case when count(*) filter ({gap} <= {reach} * {reach}) < 4 then 1 else 0 end as noise from points p join points t on p.frame_id = t.frame_id group by all"),
         "radius_search": sql("objects", f"select frame_id, q_index, t_index, round(d2, 6) + 0e0 as d2 from {RADIUS_PAIRS}"),
         "radius_search_capped": sql("objects", f"select frame_id, q_index as point_index, least(count(*), {MOST}) as n from {RADIUS_PAIRS} group by frame_id, q_index"),
         "knn_embeddings": f"select q_id, t_id, rank, round(d2, 6) + 0e0 as d2 from {KNN}",
-        "radius_embeddings": f"select q_id, count(*) as n from {KNN} where d2 <= 1.0e0 group by q_id",
+        "radius_embeddings": f"select q_id, count(*) as n from ({EVERY}) where d2 <= 1.0e0 group by q_id",
+        "radius_search_any": sql("objects", f"select frame_id, q_index, t_index, round(d2, 6) + 0e0 as d2 from {RADIUS_PAIRS} qualify row_number() over (partition by frame_id, q_index order by t_index) <= {MOST}"),
+        "radius_search_nearest": sql("objects", f"select frame_id, q_index, t_index, round(d2, 6) + 0e0 as d2 from {RADIUS_PAIRS} qualify row_number() over (partition by frame_id, q_index order by d2, t_index) <= {MOST}"),
+        "ransac_plane_draws": sql("drawn_planes", "select frame_id, iteration::int as iteration, inliers, " + ", ".join(f"round({k}, 6) + 0e0 as {k}" for k in "abcd") + " from drawn_planes"),
+        "jcp_ordered": sql("turn_voted", "select frame_id, height_index, width_index, label from turn_voted"),
+        "antipodal_pairs": sql(
+            "obj_ring",
+            """select distinct e.frame_id, e.cluster_label, round(least((t.x, t.y), (v.x, v.y))[1], 6) + 0e0 as x1, round(least((t.x, t.y), (v.x, v.y))[2], 6) + 0e0 as y1, round(greatest((t.x, t.y), (v.x, v.y))[1], 6) + 0e0 as x2, round(greatest((t.x, t.y), (v.x, v.y))[2], 6) + 0e0 as y2
+  from obj_ring e join (select o.*, i.x as x0, i.y as y0 from obj_ring o join obj_ring i on i.frame_id = o.frame_id and i.cluster_label = o.cluster_label and (i.x2, i.y2) = (o.x, o.y)) v using (frame_id, cluster_label),
+  lateral (select e.x, e.y union all select e.x2, e.y2) t
+  where (e.x2 - e.x) * (v.y - v.y0) - (e.y2 - e.y) * (v.x - v.x0) >= 0 and (e.x2 - e.x) * (v.y2 - v.y) - (e.y2 - e.y) * (v.x2 - v.x) <= 0 and (t.x, t.y) <> (v.x, v.y)""",
+        ),
+        "hull_centroid": sql("obj_ring", "select frame_id, cluster_label, round(avg(x), 6) + 0e0 as x, round(avg(y), 6) + 0e0 as y from obj_ring group by all"),
+        "min_area_corners": sql("obj_boxes", _corners("(select frame_id, cluster_label, unnest(b) from obj_boxes)")),
+        "pca_corners": sql("pca", _corners("pca")),
+        "max_ring": sql("ringed", "select frame_id, max(ring) as max_ring from ringed group by all"),
+        "ring_major_order": sql("ringed", "select frame_id, row_number() over (partition by frame_id order by ring, point_index) - 1 as place, point_index, ring from ringed"),
+        "cluster_major_order": sql("obj_clusters", "select frame_id, row_number() over (partition by frame_id order by cluster_label, point_index) - 1 as place, point_index, cluster_label from obj_clusters where cluster_label >= 0"),
+        "cluster_colour": sql("obj_clusters", "select frame_id, point_index, " + ", ".join(f"((((cluster_label + 1)::bigint * 2654435761) % 4294967296) >> {k} & 255)::int as {n}" for n, k in (("r", 24), ("g", 16), ("b", 8))) + " from obj_clusters where cluster_label >= 0"),
+        "cluster_count": sql("obj_clusters", "select frame_id, count(distinct cluster_label) as n_clusters from obj_clusters where cluster_label >= 0 group by all"),
+        "frame_extents": sql("points", "select frame_id, round(max(sqrt(x * x + y * y + z * z)), 6) + 0e0 as max_range, round(max(case when atan2(y, x) < 0 then degrees(atan2(y, x)) + 360e0 else degrees(atan2(y, x)) end), 6) + 0e0 as max_azimuth, round(max(degrees(atan2(z, sqrt(x * x + y * y))) + 90e0), 6) + 0e0 as max_elevation from points group by all"),
+        "stamps": "select event_id, epoch_us(make_timestamp((event_id % 100000) * 1000000 + ((event_id * 7919 % 1000000000) // 1000))) as micros from events",
+        "atan2_approx_32": sql("points", f"select frame_id, point_index, angle_ as angle from (select frame_id, point_index, {_single(ANGLE)} from (select frame_id, point_index, x::float as x, y::float as y from points))"),
+        "pcd_scan": sql("points", "select frame_id, point_index, x, y, z from points"),
+        "pointcloud2_roundtrip": sql("ringed", "select frame_id, point_index, x, y, z, ring from ringed"),
+        "coloured_cloud": sql("labelled", "select frame_id, point_index, " + "case " + " ".join(f"when label = {k} then {c[0] << 16 | c[1] << 8 | c[2]}" for k, c in LABEL_COLOURS.items()) + " end as rgb from labelled"),
+        "stream_labels": sql("points raw_image", "select frame_id, point_index, coalesce(i.label, 0) as label, case i.label when 1 then 'ground' when 2 then 'obstacle' else 'unsegmented' end as cloud from points left join raw_image i using (frame_id, point_index)"),
+        "pipeline_default": sql("dob_extent dob_area", SHAPES.format(p="dob")),
+        "pipeline_boxes": sql("obs_extent obs_area obs_boxes", f"select e.frame_id, e.cluster_label, v.vehicle_class, case when v.vehicle_class is not null then 24 else coalesce(a.n, 0) * 6 end as n_endpoints from obs_extent e left join obs_area a using (frame_id, cluster_label) left join ({_vehicles('obs')}) v using (frame_id, cluster_label)"),
         "knn_points": sql("objects", f"select frame_id, q_id, rank::int as rank, round(d2, 6) + 0e0 as d2 from (select p.frame_id, p.point_index as q_id, {gap} as d2, row_number() over (partition by p.frame_id, p.point_index order by {gap}, t.point_index) as rank from objects p join objects t on p.frame_id = t.frame_id where p.point_index % 20 = 0) where rank <= 3"),
         "atan2_approx": sql("points", f"select frame_id, point_index, angle_ as angle from (select frame_id, point_index, x, y, {ANGLE} from points)"),
         "orientation": sql("runs", f"select frame_id, point_index, case when {cross} > 0 then 0 when {cross} < 0 then 1 else 2 end as o, {_turn('', '1', '2')} as o_eps from runs"),
@@ -273,8 +407,5 @@ def oracle_sql() -> dict[str, str]:
         "triangle_rectangle_area": sql("runs", "select frame_id, point_index, round(abs((x * (y1 - y2) + x1 * (y2 - y) + x2 * (y - y1)) * 0.5e0), 9) as triangle, round(sqrt(((x - x1) * (x - x1) + (y - y1) * (y - y1)) * ((x1 - x2) * (x1 - x2) + (y1 - y2) * (y1 - y2))), 6) + 0e0 as rectangle, round(sqrt((x - x1) * (x - x1) + (y - y1) * (y - y1)), 6) + 0e0 as distance from runs"),
         "map_upsert_last_wins": "select user_id as k, max(event_id) as v from events group by user_id",
         "set_contains": "select user_id, bool_or(event_type = 'purchase') as contained from events group by user_id",
-        "pipeline_flagship": sql(
-            "obs_extent obs_area",
-            "select frame_id, cluster_label, n_points, round(z_min, 6) + 0e0 as z_min, round(z_max, 6) + 0e0 as z_max, round(coalesce(area, 0), 6) + 0e0 as hull_area, coalesce(n, 0) * 6 as n_endpoints from obs_extent left join obs_area using (frame_id, cluster_label)",
-        ),
+        "pipeline_flagship": sql("obs_extent obs_area", SHAPES.format(p="obs")),
     }

@@ -12,8 +12,10 @@ from voxelyard.config import SegmenterConfig, VehicleConfig
 from voxelyard.functions import geometry as g
 from voxelyard.operators import clustering, ground, polygons, rings, spatial
 from voxelyard.plans import frames
+from voxelyard.sources import pcd, pointcloud2
 from voxelyard.sources.fixtures import objects, points
-from voxelyard.sources.workdir import write_table
+from voxelyard.sources.workdir import new_path, write_table
+from voxelyard.streaming import replay
 
 Query = Callable[[SparkSession, str], DataFrame]
 CFG = SegmenterConfig()
@@ -191,7 +193,31 @@ def hull_area(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def antipodal_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return polygons.antipodal_pairs(polygons.convex_hulls(clustered(spark, sf_dir)))
+    """Both points of each pair, the lesser first."""
+    hulls = polygons.convex_hulls(clustered(spark, sf_dir)).where(F.size("hull") >= 3)
+    found = polygons.antipodal_pairs(hulls).select("frame_id", "cluster_label", "hull", F.explode("pairs").alias("p"))
+    at = lambda k: F.element_at("hull", F.col(f"p.{k}") + 1)
+    ends = found.select("frame_id", "cluster_label", F.array_sort(F.array(at("index_1"), at("index_2"))).alias("e"))
+    return rounded(ends.select("frame_id", "cluster_label", *[F.col("e")[i][k].alias(f"{k}{i + 1}") for i in (0, 1) for k in "xy"]), "x1", "y1", "x2", "y2")
+
+
+@query
+def hull_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(frames.hull_centroids(polygons.convex_hulls(clustered(spark, sf_dir)).where(F.size("hull") >= 3)), "x", "y")
+
+
+@query
+def min_area_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boxes = polygons.min_area_boxes(polygons.convex_hulls(clustered(spark, sf_dir)))
+    ends = boxes.select("frame_id", "cluster_label", F.explode("box.corners").alias("p"), F.col("box.length").alias("length"), F.col("box.width").alias("width"))
+    return rounded(ends.select("frame_id", "cluster_label", "p.x", "p.y", "length", "width"), "x", "y", "length", "width")
+
+
+@query
+def pca_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boxes = polygons.pca_boxes(clustered(spark, sf_dir))
+    ends = boxes.select("frame_id", "cluster_label", F.explode("box.corners").alias("p"), F.col("box.length").alias("length"), F.col("box.width").alias("width"))
+    return rounded(ends.select("frame_id", "cluster_label", "p.x", "p.y", "length", "width"), "x", "y", "length", "width")
 
 
 @query
@@ -306,10 +332,119 @@ def set_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.join(members, "user_id", "left_semi").withColumn("contained", F.lit(True)).union(every.join(members, "user_id", "left_anti").withColumn("contained", F.lit(False)))
 
 
+@query
+def radius_search_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours of a search that stops at a number: the first by index."""
+    return rounded(spatial.radius_any(objects(spark, sf_dir), RADIUS, MOST), "d2")
+
+
+@query
+def radius_search_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours in reach, nearest first, up to a number."""
+    return rounded(spatial.radius_any(objects(spark, sf_dir), RADIUS, MOST, nearest_first=True), "d2")
+
+
+@query
+def max_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rings.assign_rings(cloud(spark, sf_dir)).groupBy("frame_id").agg(F.max("ring").alias("max_ring"))
+
+
+@query
+def ring_major_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.in_order(rings.assign_rings(cloud(spark, sf_dir)), "ring").select("frame_id", "place", "point_index", "ring")
+
+
+@query
+def cluster_major_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = clustering.cluster(objects(spark, sf_dir)).where("cluster_label >= 0")
+    return frames.in_order(kept, "cluster_label").select("frame_id", "place", "point_index", "cluster_label")
+
+
+@query
+def cluster_colour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = clustering.cluster(objects(spark, sf_dir)).where("cluster_label >= 0")
+    return kept.select("frame_id", "point_index", g.cluster_colour(F.col("cluster_label")).alias("c")).select("frame_id", "point_index", "c.r", "c.g", "c.b")
+
+
+@query
+def cluster_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.cluster_counts(clustered(spark, sf_dir))
+
+
+@query
+def frame_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(frames.frame_extents(cloud(spark, sf_dir)), "max_range", "max_azimuth", "max_elevation")
+
+
+@query
+def stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Time of seconds and nanoseconds, as microseconds since 1970."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id")
+    return events.select("event_id", F.unix_micros(g.stamp_micros(F.col("event_id") % 100_000, F.col("event_id") * 7919 % 1_000_000_000)).alias("micros"))
+
+
+@query
+def atan2_approx_32(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The polynomial in 32-bit arithmetic."""
+    single = cloud(spark, sf_dir).select("frame_id", "point_index", F.col("x").cast("float").alias("x"), F.col("y").cast("float").alias("y"))
+    return single.select("frame_id", "point_index", g.atan2_approx(F.col("y"), F.col("x"), "float").alias("angle"))
+
+
+@query
+def pcd_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames written as files of all three kinds and read again; every kind gives the points it was given."""
+    folder, way = new_path(spark, "pcd"), ["ascii", "binary", "binary_compressed"]
+    held = write_table(cloud(spark, sf_dir), "cloud")
+    written = [pcd.write_pcd(held.where(F.col("frame_id") % 3 == k), folder, w).count() for k, w in enumerate(way)]
+    return pcd.read_pcd(spark, folder).where(F.lit(sum(written) >= 0)).select("frame_id", "point_index", "x", "y", "z")
+
+
+@query
+def pointcloud2_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points with rings as messages of bytes and back; coordinates in 64 bits, rings in 16."""
+    ringed = rings.assign_rings(cloud(spark, sf_dir))
+    messages = pointcloud2.encode(ringed.select("frame_id", "point_index", "x", "y", "z", "ring"), dict.fromkeys("xyz", 8))
+    return pointcloud2.decode(messages).select("frame_id", "point_index", "x", "y", "z", "ring")
+
+
+@query
+def coloured_cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points with the packed colour of their label."""
+    told = labelled(spark, sf_dir).select("frame_id", "point_index", g.label_colour(F.col("label")).alias("c"))
+    return told.select("frame_id", "point_index", pointcloud2.packed_colour(F.col("c.r"), F.col("c.g"), F.col("c.b")).alias("rgb"))
+
+
+@query
+def stream_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames as files, replayed as a stream; the labels that the sinks hold in the end."""
+    folder, out = new_path(spark, "replay"), replay.Sinks(new_path(spark, "sinks"))
+    pcd.write_pcd(cloud(spark, sf_dir), folder).count()
+    replay.run_stream(replay.file_stream(spark, folder, 3), out, new_path(spark, "stream"), plane="none", convolution="none").awaitTermination()
+    return out.read(spark, "clouds").select("frame_id", "point_index", "label", "cloud")
+
+
+@query
+def pipeline_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pipeline as it is by default: random draws and votes in scan order."""
+    return _shapes(frames.run_frames(cloud(spark, sf_dir), CFG))
+
+
 @query
 def pipeline_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels, clusters of obstacles and their extents, hull areas and outline sizes for every frame."""
-    done = frames.run_frames(cloud(spark, sf_dir), CFG, plane="ranks", convolution="simultaneous")
+    return _shapes(frames.run_frames(cloud(spark, sf_dir), CFG, plane="ranks", convolution="simultaneous"))
+
+
+@query
+def pipeline_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pipeline with boxes for what looks like a vehicle: class and outline size of each cluster."""
+    done = frames.run_frames(cloud(spark, sf_dir), CFG, plane="ranks", convolution="simultaneous", simplify=True, vehicles=VEHICLES)
+    ends = done.outlines.select("frame_id", "cluster_label", F.size("segments").cast("long").alias("n_endpoints"))
+    told = done.shapes.select("frame_id", "cluster_label", "vehicle_class").join(ends, ["frame_id", "cluster_label"], "left")
+    return told.withColumn("n_endpoints", F.coalesce("n_endpoints", F.lit(0).cast("long")))
+
+
+def _shapes(done: frames.FrameResult) -> DataFrame:
     ends = done.outlines.select("frame_id", "cluster_label", F.size("segments").cast("long").alias("n_endpoints"))
     shapes = done.shapes.select("frame_id", "cluster_label", "n_points", "z_min", "z_max", "hull_area").join(ends, ["frame_id", "cluster_label"], "left")
     return rounded(shapes.withColumn("n_endpoints", F.coalesce("n_endpoints", F.lit(0).cast("long"))), "z_min", "z_max", "hull_area")

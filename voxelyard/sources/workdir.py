@@ -41,9 +41,3 @@ def drop_table(df: DataFrame) -> None:
         jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(conf).delete(where, True)
-
-
-def input_partitions(df: DataFrame, least: int = 1) -> int:
-    """Partitions to use for work that is as large as ``df``: at least its own and the session's shuffle setting."""
-    conf = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, conf)
