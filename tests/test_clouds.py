@@ -111,6 +111,8 @@ def test_settings_and_layouts(spark):
     cfg = from_text(SegmenterConfig, "a:\n  image_width: 1024  # px\n  assume_unorganized_cloud: true\n")
     assert cfg.image_width == 1024 and cfg.assume_unorganized_cloud and cfg.rings == 50 and cfg.slices == 360
     assert validate_layout(cloud(spark, [(1, 2, 3)])) == ["x", "y", "z"]
+    with pytest.raises(ValueError):
+        from_text(SegmenterConfig, "image_width: 1024", strict=True)
     with pytest.raises(ValueError):
         validate_layout(cloud(spark, [(1, 2, 3)]).select("frame_id", "point_index", "z", "y", "x"))
 
@@ -245,3 +247,33 @@ def test_draws_come_from_the_twister():
                 at += 1
             want.append((second, third))
         assert ground.draw_pairs(n, 20) == want
+
+
+def test_elevations_in_32_bits_step_by_step(spark):
+    import random
+
+    import numpy as np
+
+    rng, cfg = random.Random(7), SegmenterConfig()
+    rows = [(0, a, r, rng.uniform(-2, 3)) for a in range(20) for r in range(50) if rng.random() < 0.4]
+    cells = spark.createDataFrame(rows, "frame_id long, azimuth_index int, radial_index int, z_min double")
+    got = {(r.azimuth_index, r.radial_index): np.float32(r.elevation) for r in ground.elevation_map_32(cells).collect()}
+    lowest = {(a, r): np.float32(z) for _, a, r, z in rows}
+    for a in range(20):
+        e = np.float32(cfg.first_elevation)
+        for r in range(50):
+            if r:
+                e = min(lowest.get((a, r), np.float32(np.inf)), np.float32(e + np.float32(cfg.elevation_step)))
+            assert (a, r) not in lowest or got[a, r] == e
+
+
+def test_tables_of_the_shared_folder_can_be_cleared(spark):
+    import pathlib
+
+    from voxelyard.sources import workdir
+
+    held = workdir.write_table(spark.range(5), "short-lived")
+    where = pathlib.Path(held.stored_at.removeprefix("file://"))
+    assert held.count() == 5 and where.exists()
+    workdir.clear_tables(spark)
+    assert not where.exists()

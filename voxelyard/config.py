@@ -118,8 +118,11 @@ def from_dict(kind: type, values: dict):
     return kind(**values)
 
 
-def from_text(kind: type, text: str):
-    """Settings from ``name: value`` lines (the flat subset of YAML that parameter files use); comments and nesting heads are skipped."""
+def from_text(kind: type, text: str, strict: bool = False):
+    """Settings from ``name: value`` lines (the flat subset of YAML that parameter files use); comments and nesting heads are skipped.
+
+    Settings that the text lacks have their defaults, or raise if ``strict``.
+    """
     values = {}
     for line in text.splitlines():
         name, found, value = line.split("#")[0].strip().partition(":")
@@ -128,4 +131,6 @@ def from_text(kind: type, text: str):
             values[name] = {"true": True, "false": False}.get(raw.lower(), raw)
             if isinstance(values[name], str):
                 values[name] = float(raw) if any(c in raw for c in ".eE") else int(raw)
+    if strict and (missing := {f.name for f in fields(kind)} - set(values)):
+        raise ValueError(f"missing settings: {sorted(missing)}")
     return from_dict(kind, values)

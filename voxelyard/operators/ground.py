@@ -57,6 +57,17 @@ def elevation_map(cells: DataFrame, cfg: SegmenterConfig = SegmenterConfig()) ->
     return cells.withColumn("elevation", F.coalesce(lowest, F.lit(cfg.first_elevation)) + step)
 
 
+def elevation_map_32(cells: DataFrame, cfg: SegmenterConfig = SegmenterConfig()) -> DataFrame:
+    """As ``elevation_map``, step by step in 32-bit arithmetic: rounding then depends on the order of the steps. One array of ``rings`` numbers for each slice."""
+    single = lambda v: F.lit(v).cast("float")
+    slices = cells.groupBy("frame_id", "azimuth_index").agg(F.map_from_entries(F.collect_list(F.struct("radial_index", F.col("z_min").cast("float")))).alias("lowest"))
+    rise = lambda e: (F.element_at(e, -1) + single(cfg.elevation_step)).cast("float")
+    known = lambda r: F.coalesce(F.element_at("lowest", r), single(float("inf")))
+    run = F.aggregate(F.sequence(F.lit(1), F.lit(cfg.rings - 1)), F.array(single(cfg.first_elevation)), lambda e, r: F.concat(e, F.array(F.least(known(r), rise(e)))))
+    every = slices.select("frame_id", "azimuth_index", F.posexplode(run).alias("radial_index", "elevation"))
+    return cells.select(*CELL).join(every, CELL)
+
+
 def elevation_labels(grid: DataFrame, cfg: SegmenterConfig = SegmenterConfig()) -> DataFrame:
     """Gridded points with ``elevation`` and ``label``."""
     elevation = elevation_map(robust_minimum(grid, cfg), cfg).select(*CELL, "elevation")

@@ -56,6 +56,12 @@ PARTS: dict[str, tuple[str, str]] = {
   coalesce(least(min(k.z_min - k.radial_index * {STEP}), {FIRST}), {FIRST}) + c.radial_index * {STEP} as elevation
   from cells c left join cells k on k.frame_id = c.frame_id and k.azimuth_index = c.azimuth_index and k.radial_index between 1 and c.radial_index
   group by c.frame_id, c.azimuth_index, c.radial_index""",
+    ),
+    "single_reach": (
+        "cells",
+        f"""select frame_id, azimuth_index, 0 as radial_index, ({FIRST})::float as elevation from cells group by frame_id, azimuth_index union all
+  select e.frame_id, e.azimuth_index, e.radial_index + 1, least(coalesce(c.z_min::float, 'inf'::float), (e.elevation + ({STEP})::float)::float)
+  from single_reach e left join cells c on c.frame_id = e.frame_id and c.azimuth_index = e.azimuth_index and c.radial_index = e.radial_index + 1 where e.radial_index < {CFG.rings - 1}""",
     ),
     "labelled": ("grid elevations", f"select *, case when z >= elevation + {THR} then 2 else 1 end as label from grid join elevations using (frame_id, azimuth_index, radial_index)"),
     "candidates": (
@@ -341,6 +347,7 @@ def oracle_sql() -> dict[str, str]:
         "polar_grid": sql("grid", "select frame_id, point_index, azimuth_index, radial_index, height_index, width_index from grid"),
         "cell_robust_min": sql("cells", "select frame_id, azimuth_index, radial_index, round(z_min, 6) + 0e0 as z_min from cells"),
         "recm_elevation": sql("elevations", "select frame_id, azimuth_index, radial_index, round(elevation, 6) + 0e0 as elevation from elevations"),
+        "recm_elevation_32": sql("cells single_reach", "select frame_id, azimuth_index, radial_index, elevation from cells join single_reach using (frame_id, azimuth_index, radial_index)"),
         "recm_labels": sql("labelled", "select frame_id, point_index, label from labelled"),
         "ransac_plane_ranks": sql("planes", "select frame_id, iteration::int as iteration, inliers, " + ", ".join(f"round({k}, 6) + 0e0 as {k}" for k in "abcd") + " from planes"),
         "ransac_labels": sql("corrected", "select frame_id, point_index, label from corrected"),

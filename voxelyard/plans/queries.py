@@ -90,6 +90,12 @@ def recm_elevation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ground.elevation_map(cells, CFG).drop("z_min"), "elevation")
 
 
+@query
+def recm_elevation_32(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The elevation map in 32-bit arithmetic, to the last bit."""
+    return ground.elevation_map_32(ground.robust_minimum(ground.polar_grid(cloud(spark, sf_dir), CFG), CFG), CFG)
+
+
 @query
 def recm_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled(spark, sf_dir).select("frame_id", "point_index", "label")
