@@ -1,6 +1,7 @@
 import struct
 import zlib
 
+import numpy as np
 import pytest
 
 from tests.llm.data import SF, edge_docs, empty_docs
@@ -74,3 +75,15 @@ def test_quick_engine_gives_the_same_ids(plain):
     texts += ["x" * 100_000, " " * 100_000 + "a", "\n \n  a", "a <|endoftext|> b", "it's I'LL 'Re", "\u0000﻿", "é́" * 5000, " "]
     for text in texts:
         assert tokenizer.encode(text) == struct.pack(f"<{len(ids := plain.encode(text, add_special_tokens=False).ids)}I", *ids)
+
+
+def test_both_engines_at_their_border():
+    """Texts that go to the file's own engine, and those just before, have its ids."""
+    import tokenizers
+
+    from voxelyard.llm import packing
+
+    own = tokenizers.Tokenizer.from_file(packing.vocabulary_path())
+    quick = packing.document_tokenizer(packing.vocabulary_path())
+    for text in ["a" + " " * n + "b" for n in (1, 2, 254, 255, 256, 257, 1000)] + ["\n" * 255, "\t " * 300, "x <|endoftext|> y", "<|endoftext|>", "<|endoftext |>", "\u2003" * 255 + "z"]:
+        assert quick.encode(text) == np.array(own.encode(text, add_special_tokens=False).ids, "<u4").tobytes()

@@ -131,7 +131,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     """One row per piece: ``(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset)`` and, if asked for, its ids.
 
     Documents are laid end to end in partition order and cut every ``window`` ids, so all sequences but the last are full. An empty table
-    gives no piece. The crc is that of the ids as little-endian unsigned 32-bit numbers.
+    gives no piece; other columns are ignored, whatever their names. The tokens of pass 1 stay in the shared folder (about the size of the input) until they are cleared. The crc is that of the ids as little-endian unsigned 32-bit numbers.
     """
     tokens = tokenize(docs, id_col, text_col, vocabulary, end_id)
     offsets = global_offsets(tokens)
