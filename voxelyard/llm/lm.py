@@ -33,7 +33,7 @@ from voxelyard.llm._shared import release, released, small_batches, values_of, w
 
 #: Text bytes after which a block is closed, and tokens that the traversal of one text handles in a lane.
 BLOCK_BYTES = 8 << 20
-LANE = 256
+LANE = 64
 HELD_OUT, FOLDS = 2, 7
 #: Bits that the hashes of pairs and triples lose.
 SHIFT = 8
@@ -315,6 +315,14 @@ def gather(words: DataFrame, grams: DataFrame) -> Corpus:
     return Corpus(tokens, distinct, documents, exponents, (single + 1) / (tokens + 2))
 
 
+def _find(held: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Binary search of many keys in their own order: neighbours touch the same memory."""
+    order = np.argsort(wanted)
+    out = np.empty(len(wanted), np.int64)
+    out[order] = np.searchsorted(held, wanted[order])
+    return out
+
+
 class BackoffAutomaton:
     """States: pairs (by number), words, none. ``arcs``: sorted state * width + word of each order with log-probabilities; ``failure``: the cost of a state's failure arc.
 
@@ -327,10 +335,10 @@ class BackoffAutomaton:
 
     def step(self, pair: np.ndarray, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log-probabilities of reading a word in each lane, and the pairs reached; pair -1: no state of two words."""
-        after = np.searchsorted(self.pairs, state * self.width + word)
+        after = _find(self.pairs, state * self.width + word)
         cost = np.where(self.held[after], self.costs[after], self.failure[state] + self.bare[word])
         wanted = pair * self.width + word
-        at = np.minimum(np.searchsorted(self.triples, wanted), max(len(self.triples) - 1, 0))
+        at = np.minimum(_find(self.triples, wanted), max(len(self.triples) - 1, 0))
         found = (self.triples[at] == wanted) & (pair >= 0) if len(self.triples) else np.zeros(len(wanted), bool)
         cost = np.where(pair >= 0, self.pair_failure[pair], 0.0) + cost
         if len(self.triples):
@@ -368,7 +376,7 @@ def build_automaton(words: int, word_totals: np.ndarray, pairs: np.ndarray, pair
     pair_keep = np.where(word == words, 1.0, (1.0 + pair_totals) ** -corpus.exponents[1])
     triples, triple_totals = triples[triple_totals > 0], triple_totals[triple_totals > 0].astype(np.float64)
     pair, last = triples // m, triples % m
-    lower = two[np.searchsorted(pairs, word[pair] * m + last)]
+    lower = two[_find(pairs, word[pair] * m + last)]
     three = (1 - pair_keep[pair]) * triple_totals / np.maximum(pair_totals[pair], 1) + pair_keep[pair] * lower
     return BackoffAutomaton(m, pairs, pair_totals > 0, _log10(two), _log10(keep), _log10(np.append(bare, 0.0)), triples, _log10(three), _log10(pair_keep))
 
