@@ -277,3 +277,23 @@ def test_tables_of_the_shared_folder_can_be_cleared(spark):
     assert held.count() == 5 and where.exists()
     workdir.clear_tables(spark)
     assert not where.exists()
+
+
+def test_nearest_and_radius_counts_against_brute_force(spark):
+    """Ties, repeated vectors, groups, far-off coordinates, fewer targets than asked for."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    v = np.round(rng.normal(size=(120, 6)), 1) + 1000.0
+    v[60:80] = v[0]
+    rows = [(i, int(i % 2), x.tolist()) for i, x in enumerate(v)]
+    frame = spark.createDataFrame(rows, "id long, g long, v array<double>").repartition(4)
+    d2 = lambda i, j: float(sum((a - b) ** 2 for a, b in zip(v[i], v[j])))
+    for k, grouped in ((7, None), (7, "g"), (200, "g")):
+        got = {}
+        for r in spatial.nearest(frame.where("id % 5 = 0"), frame, k, "id", "v", block=10, group_col=grouped).orderBy("rank").collect():
+            got.setdefault(r.q_id, []).append(r.t_id)
+        want = {i: sorted((j for j in range(120) if not grouped or i % 2 == j % 2), key=lambda j: (d2(i, j), j))[:k] for i in range(0, 120, 5)}  # noqa: B023
+        assert got == want
+    counts = {r.q_id: r.n for r in spatial.vector_radius_counts(frame.where("id % 5 = 0"), frame, 2.0, "id", "v").collect()}
+    assert counts == {i: sum(d2(i, j) <= 4.0 for j in range(120)) for i in range(0, 120, 5)}

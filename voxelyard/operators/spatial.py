@@ -54,8 +54,9 @@ def radius_any(points: DataFrame, radius: float, most: int, nearest_first: bool
 def nearest(queries: DataFrame, targets: DataFrame, k: int, id_col: str, vector_col: str, block: int = 1 << 16, group_col: str | None = None) -> DataFrame:
     """Exact k nearest of each query vector: ``q_id, t_id, d2, rank``; ties go to the smaller id; a row finds itself.
 
-    Queries are taken in blocks of bounded size. A block goes to every partition of the targets, which answer with their own k best, and
-    the k best of these are the result: what is shuffled is k rows per query and partition.
+    Queries are taken in blocks of bounded size (65,536: some 30 MB at 64 dimensions). A block goes to every partition of the targets, which answer with their own k best, and
+    the k best of these are the result: what is shuffled is k rows per query and partition. Distances come from matrix products; those near the
+    k-th are measured again exactly. Targets are read once for each block of queries.
     """
     wanted = queries.select(F.col(id_col).alias("q_id"), F.col(vector_col).alias("v"), (F.col(group_col) if group_col else F.lit(0)).cast("long").alias("g"))
     held = targets.select(F.col(id_col).alias("t_id"), F.col(vector_col).alias("v"), (F.col(group_col) if group_col else F.lit(0)).cast("long").alias("g"))
@@ -74,24 +75,48 @@ def nearest(queries: DataFrame, targets: DataFrame, k: int, id_col: str, vector_
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    return np.stack(vectors.map(np.asarray)).astype(np.float64)
+
+
+def _rough(q: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances by one matrix product, and for each query how far they may be off."""
+    own, other = (q * q).sum(axis=1), (t * t).sum(axis=1)
+    slack = 1e-12 * q.shape[1] * (own + other.max(initial=0.0)) + 1e-300
+    return own[:, None] + other[None, :] - 2 * (q @ t.T), slack[:, None]
+
+
+def _exact(q: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Squared distances row by row, summed in the order of the dimensions."""
+    d2 = np.zeros(len(q))
+    for j in range(q.shape[1]):
+        d2 += (q[:, j] - t[:, j]) ** 2
+    return d2
+
+
 def _block_search(rows: pd.DataFrame, k: int):
-    q, ids, groups = np.stack(rows["v"].map(np.asarray)).astype(np.float64), rows["q_id"].to_numpy(), rows["g"].to_numpy()
+    q, ids, groups = _matrix(rows["v"]), rows["q_id"].to_numpy(), rows["g"].to_numpy()
 
     def run(batches):
         best = None
         for pdf in batches:
             if not len(pdf):
                 continue
-            t, t_ids, t_groups = np.stack(pdf["v"].map(np.asarray)).astype(np.float64), pdf["t_id"].to_numpy(), pdf["g"].to_numpy()
+            t, t_ids, t_groups = _matrix(pdf["v"]), pdf["t_id"].to_numpy(), pdf["g"].to_numpy()
             for at in range(0, len(q), 256):
                 part = slice(at, at + 256)
-                d2 = np.zeros((len(q[part]), len(t)))
-                for j in range(q.shape[1]):
-                    d2 += (q[part, j][:, None] - t[None, :, j]) ** 2
-                d2[groups[part][:, None] != t_groups[None, :]] = np.inf
-                order = np.lexsort((np.broadcast_to(t_ids, d2.shape), d2), axis=1)[:, :k]
-                mine = pd.DataFrame({"g": np.repeat(groups[part], order.shape[1]), "q_id": np.repeat(ids[part], order.shape[1]), "t_id": t_ids[order].ravel(), "d2": np.take_along_axis(d2, order, 1).ravel()})
-                best = pd.concat([best, mine[np.isfinite(mine["d2"])]])
+                rough, slack = _rough(q[part], t)
+                rough[groups[part][:, None] != t_groups[None, :]] = np.inf
+                # What may be among the k best is measured exactly; the rest is farther by more than any rounding.
+                least = np.partition(rough, min(k, len(t)) - 1, axis=1)[:, [min(k, len(t)) - 1]]
+                row, column = np.nonzero((rough <= least + 2 * slack) & np.isfinite(rough))
+                d2 = _exact(q[part][row], t[column])
+                order = np.lexsort((t_ids[column], d2, row))
+                row, column, d2 = row[order], column[order], d2[order]
+                first = np.searchsorted(row, row)
+                kept = np.arange(len(row)) - first < k
+                mine = pd.DataFrame({"g": groups[part][row[kept]], "q_id": ids[part][row[kept]], "t_id": t_ids[column[kept]], "d2": d2[kept]})
+                best = mine if best is None else pd.concat([best, mine])
             best = best.sort_values(["g", "q_id", "d2", "t_id"]).groupby(["g", "q_id"]).head(k)
         if best is not None:
             yield best
@@ -116,20 +141,21 @@ def vector_radius_counts(queries: DataFrame, targets: DataFrame, radius: float,
 
 
 def _block_counts(rows: pd.DataFrame, most: float):
-    q, ids = np.stack(rows["v"].map(np.asarray)).astype(np.float64), rows["q_id"].to_numpy()
+    q, ids = _matrix(rows["v"]), rows["q_id"].to_numpy()
 
     def run(batches):
         n = np.zeros(len(q), np.int64)
         for pdf in batches:
             if not len(pdf):
                 continue
-            t = np.stack(pdf["v"].map(np.asarray)).astype(np.float64)
+            t = _matrix(pdf["v"])
             for at in range(0, len(q), 256):
                 part = slice(at, at + 256)
-                d2 = np.zeros((len(q[part]), len(t)))
-                for j in range(q.shape[1]):
-                    d2 += (q[part, j][:, None] - t[None, :, j]) ** 2
-                n[part] += (d2 <= most).sum(axis=1)
+                rough, slack = _rough(q[part], t)
+                sure = rough < most - slack
+                row, column = np.nonzero(~sure & (rough <= most + slack))
+                near = _exact(q[part][row], t[column]) <= most
+                n[part] += sure.sum(axis=1) + np.bincount(row[near], minlength=len(sure))
         yield pd.DataFrame({"q_id": ids[n > 0], "n": n[n > 0]})
 
     return run
