@@ -167,3 +167,11 @@ def test_two_passes_against_brute_force():
             else:
                 want.append(left != right and told["l" if left < right else "r"] == "good")
         assert [b.label == "good" for b in htmltext.judged_blocks("".join(parts))] == want
+
+
+def test_long_talk_about_a_short_article():
+    """Comments and sidebars stay out even if all dense text of the page is in them."""
+    talk = "".join(f"<article class=comment><p>{GOOD}</p></article>" for _ in range(5))
+    for wrapped in (f"<section id=comments>{talk}</section>", f'<div class="comment-list"><h2>Comments</h2>{talk}</div>', f"<div class=sidebar><p>{GOOD}</p></div>", f"<div class=sidebar><div><p>{GOOD}</p></div><article class=teaser><h1>Other</h1><p>{GOOD}</p></article></div>"):
+        assert text(f"<body><article><h1>Title</h1><p>Few words.</p></article>{wrapped}</body>") == "Title\nFew words."
+    assert text(f'<body><div class="sidebar-left"><p>{GOOD}</p><p>Short.</p></div></body>') == f"{GOOD.strip()}\nShort."

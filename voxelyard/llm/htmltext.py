@@ -146,11 +146,12 @@ def _place(tag: str, rest: str, parent: _Node, count: int, hints: list[Hint]) ->
 
 
 def blocks_of(page: str) -> tuple[list[Block], list[Hint]]:
-    """Visible text blocks in page order, references decoded, white space within a block one space; and the hints around them (the first is none)."""
+    """Visible text blocks in page order, references decoded, white space within a block one space; and the hints around them (the first stands for the page)."""
     out: list[Block] = []
     hints = [Hint(0, False)]
     root = _Node("", 0, False, False, 0)
     closed = page.rfind(">")  # no tag ends beyond it
+    headed = False  # whether the page has a heading or a landmark
     stack = [root]
     # Places of the open elements by tag, and of the open blocks, so that no depth needs a search.
     open_at: dict[str, list[int]] = defaultdict(lambda: [0])
@@ -227,9 +228,10 @@ def blocks_of(page: str) -> tuple[list[Block], list[Hint]]:
         if tag in BLOCKS:
             block_at.append(len(stack))
         stack.append(_place(tag, rest, stack[-1], count, hints))
-        if tag in ("h1", "article", "main"):
-            hints[stack[-2].hint].heads = True
+        if tag == "h1" and not stack[-1].remark or tag in ("article", "main") and stack[-1].article:
+            hints[stack[-2].hint].heads = headed = True
     flush()
+    hints[0].heads = headed
     return out, hints
 
 
@@ -248,7 +250,7 @@ def _decide(b: Block, rules: BlockRules) -> tuple[str, str]:
 
 
 def _outside(found: list[Block], hints: list[Hint]) -> list[bool]:
-    """By hint whether it is to be believed: not if names alone tell it and the element has the page's heading or landmark, or all dense text, and over half of the dense text."""
+    """By hint whether it is to be believed: not if names alone tell it and the element has over half of the dense text and the page's heading or landmark, or, on a page without these, all dense text."""
     for b in found:
         if b.label == "good":
             hints[b.hint].dense += len(b.text)
@@ -259,7 +261,7 @@ def _outside(found: list[Block], hints: list[Hint]) -> list[bool]:
     total = sum(len(b.text) for b in found if b.label == "good")
     out = [False]
     for h in hints[1:]:
-        void = h.named and 2 * h.dense > total and (h.heads or h.dense == total)
+        void = h.named and 2 * h.dense > total and (h.heads or h.dense == total and not hints[0].heads)
         out.append(out[h.parent] or not void)
     return out
 
