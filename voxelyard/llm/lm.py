@@ -17,7 +17,6 @@ probabilities of the known words, the end and the unknown class add up to one.
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
