@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import math
+import re
 
 from voxelyard.config import VEHICLES as CLASSES
 from voxelyard.config import ClustererConfig, SegmenterConfig
@@ -81,11 +81,6 @@ PARTS: dict[str, tuple[str, str]] = {
       join candidates u on u.frame_id = t.frame_id and u.rank = t.r2 join candidates v on v.frame_id = t.frame_id and v.rank = t.r3)
     where sq >= 1e-5 and nz / size >= {d(CFG.least_normal_z)}) p
   join candidates q using (frame_id) group by all) where inliers > 0) where best = 1""",
-    ),
-    "drawn": (
-        "candidates",
-        f"""select frame_id, 0 as i, n, 1 as pos, l, l[1] as r2, {{third1}} as r3 from (select frame_id, max(n) as n, list_transform([{{stream}}], lambda r: (r * max(n)) >> 32) as l from candidates group by frame_id having max(n) >= 2)
-  union all select frame_id, i + 1, n, pos + {{used}}, l, l[pos + {{used}}], {{third2}} from drawn where i + 1 < {CFG.ransac_iterations}""",
     ),
     "corrected": (
         "labelled planes",
@@ -128,10 +123,12 @@ def _third(at: str) -> str:
     return f"l[{at} + {_extra(at)} - 1]"
 
 
-_used = _extra("pos")
+_next = f"pos + {_extra('pos')}"
 PARTS["drawn_reach"] = (
     "candidates",
-    PARTS.pop("drawn")[1].replace("from drawn where", "from drawn_reach where").format(third1=_third("1"), stream=", ".join(map(str, twister(42, 4 * CFG.ransac_iterations))), used=_used, third2=_third(f"(pos + {_used})")),
+    f"""select frame_id, 0 as i, n, 1 as pos, l, l[1] as r2, {_third("1")} as r3 from (
+    select frame_id, max(n) as n, list_transform([{", ".join(map(str, twister(42, 4 * CFG.ransac_iterations)))}], lambda r: (r * max(n)) >> 32) as l from candidates group by frame_id having max(n) >= 2)
+  union all select frame_id, i + 1, n, {_next}, l, l[{_next}], {_third(f"({_next})")} from drawn_reach where i + 1 < {CFG.ransac_iterations}""",
 )
 PARTS["drawn_planes"] = ("candidates drawn_reach", _plane_sql("drawn_reach"))
 PARTS["drawn_corrected"] = ("labelled drawn_planes", PARTS["corrected"][1].replace("left join planes", "left join drawn_planes"))
@@ -305,8 +302,6 @@ def _corners(source: str) -> str:
 
 def _single(angle: str) -> str:
     """The polynomial's text with 32-bit coefficients, and none of its steps wider."""
-    import re
-
     return re.sub(r"(?<![\w.])(-?\d+\.\d+(?:e0)?)", r"(\1::float)", angle)
 
 

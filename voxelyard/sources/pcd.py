@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -152,8 +151,3 @@ def write_pcd(points: DataFrame, folder: str, way: str = "binary", digits: int =
         return pa.table({"frame_id": pa.array([frame], pa.int64()), "path": [path], "n_points": pa.array([table.num_rows], pa.int64())})
 
     return points.groupBy("frame_id").applyInArrow(run, "frame_id long, path string, n_points long")
-
-
-def natural(path: str) -> str:
-    """A path without the doubled slashes that file listings differ in."""
-    return re.sub("^file:/+", "/", path)
