@@ -385,7 +385,7 @@ def oracle_sql() -> dict[str, str]:
   lateral (select e.x, e.y union all select e.x2, e.y2) t
   where (e.x2 - e.x) * (v.y - v.y0) - (e.y2 - e.y) * (v.x - v.x0) >= 0 and (e.x2 - e.x) * (v.y2 - v.y) - (e.y2 - e.y) * (v.x2 - v.x) <= 0 and (t.x, t.y) <> (v.x, v.y)""",
         ),
-        "hull_centroid": sql("obj_ring", "select frame_id, cluster_label, round(avg(x), 6) + 0e0 as x, round(avg(y), 6) + 0e0 as y from obj_ring group by all"),
+        "hull_centroid": sql("obj_ring", "select frame_id, cluster_label, round(avg(x), 9) + 0e0 as x, round(avg(y), 9) + 0e0 as y from obj_ring group by all"),
         "min_area_corners": sql("obj_boxes", _corners("(select frame_id, cluster_label, unnest(b) from obj_boxes)")),
         "pca_corners": sql("pca", _corners("pca")),
         "max_ring": sql("ringed", "select frame_id, max(ring) as max_ring from ringed group by all"),

@@ -43,8 +43,8 @@ def clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_table(clustering.cluster(objects(spark, sf_dir)), "clusters")
 
 
-def rounded(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({n: F.round(F.col(n), 6) + F.lit(0.0) for n in names})
+def rounded(df: DataFrame, *names: str, places: int = 6) -> DataFrame:
+    return df.withColumns({n: F.round(F.col(n), places) + F.lit(0.0) for n in names})
 
 
 @query
@@ -209,7 +209,7 @@ def antipodal_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def hull_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(frames.hull_centroids(polygons.convex_hulls(clustered(spark, sf_dir)).where(F.size("hull") >= 3)), "x", "y")
+    return rounded(frames.hull_centroids(polygons.convex_hulls(clustered(spark, sf_dir)).where(F.size("hull") >= 3)), "x", "y", places=9)
 
 
 @query
