@@ -63,7 +63,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     whole = all(t in LONGS for _, t in pairs.dtypes)
     if whole:
         pairs = pairs.select(F.col("u").cast("long"), F.col("v").cast("long")).mapInArrow(_contract, "u long, v long")
-    now = write_table(pairs, "components")
+    # What many tasks have contracted goes to few files of full size, not to one small file of each task.
+    now = write_table(pairs.hint("rebalance"), "components")
     mark = _fingerprint(now)
     if whole and 0 < mark[0] <= task_edges:
         now, mark = write_table(now.coalesce(1).mapInArrow(_contract, "u long, v long"), "components"), (0, None)
