@@ -297,3 +297,37 @@ def test_nearest_and_radius_counts_against_brute_force(spark):
         assert got == want
     counts = {r.q_id: r.n for r in spatial.vector_radius_counts(frame.where("id % 5 = 0"), frame, 2.0, "id", "v").collect()}
     assert counts == {i: sum(d2(i, j) <= 4.0 for j in range(120)) for i in range(0, 120, 5)}
+
+
+def test_noise_of_dense_cells_is_told_without_pairs(spark, monkeypatch):
+    import random
+
+    rng = random.Random(9)
+    rows = [(0, i, 3 + rng.random() / 999, -6 + rng.random() / 999, 1.0) for i in range(3000)]
+    rows += [(1, i, *(rng.choice([0, 0.5, 5, 40]) + rng.choice([0, 0.03, 0.1, 0.125, 0.8]) * rng.random() for _ in "xyz")) for i in range(900)]
+    rows += [(2, 10 * k + i, 1.0, 0.0, z + 0.02 * i) for k, z in enumerate((0.0, 1e9, 3e10, 1e17, 2e17)) for i in range(4)] + [(2, 90 + i, 0.0, 0.0, 1e18 * i) for i in range(1, 6)]
+    points = spark.createDataFrame(rows, "frame_id long, point_index long, x double, y double, z double").repartition(5)
+    asked, join = [], spatial.radius_join
+    monkeypatch.setattr(spatial, "radius_join", lambda q, t, r: asked.append(q.groupBy("frame_id").count().collect()) or join(q, t, r))
+    got = spatial.noise_labels(points)
+    assert got.columns == [*points.columns, "noise"]
+    got = {(r.frame_id, r.point_index): r.noise for r in got.collect()}
+    counted = {r.frame_id: r["count"] for r in asked[0]}
+    assert counted.get(0, 0) <= 64 and 0 < counted[1] < 900
+    for f in (1, 2):
+        frame = [r for r in rows if r[0] == f]
+        for _, i, *p in frame:
+            reach = max(0.02 * math.hypot(p[0], p[1]), 0.1)
+            assert got[f, i] == int(sum(math.dist(p, q[2:]) ** 2 <= reach * reach for q in frame) < 4)
+    assert len(got) == len(rows) and not any(n for (f, _), n in got.items() if f == 0)
+
+
+def test_cells_are_not_broadcast(spark, tmp_path):
+    """A side of the cell join has 27 rows for a point, which the planner does not see: it broadcast 16 million of them."""
+    from pyspark.sql import functions as F
+
+    random_cloud(spark, 6, 50).write.parquet(f"{tmp_path}/points")
+    points = spark.read.parquet(f"{tmp_path}/points")
+    plan = spatial.radius_join(points, points, F.lit(0.5))._jdf.queryExecution().sparkPlan().toString()
+    met = [line for line in plan.splitlines() if "Join" in line and "cx" in line]
+    assert met and all("SortMergeJoin" in line for line in met)

@@ -11,16 +11,23 @@ from pyspark.sql.window import Window as W
 from voxelyard.config import NOISE, VALID, NoiseConfig
 from voxelyard.functions.geometry import planar_range
 from voxelyard.operators.clustering import finite
+from voxelyard.sources.workdir import drop_table, write_table
+
+
+def _grid(radius: Column) -> Column:
+    """Binary logarithm of the cell width for a radius."""
+    return F.ceil(F.log2(F.greatest(radius, F.lit(1e-6)))).cast("int")
 
 
 def radius_join(queries: DataFrame, targets: DataFrame, radius: Column) -> DataFrame:
     """Pairs of a frame within a distance that may differ by query, bounds included: ``q_index, t_index, d2``. Coordinates that are not finite meet nothing.
 
     Each radius belongs to the grid whose cells are the next power of two wide, so a query asks for 27 cells at most, whatever its radius; targets
-    stand in the grids that queries of their frame ask for. Cells meet in an equi-join.
+    stand in the grids that queries of their frame ask for. Cells meet in an equi-join by sorting: its sides are many times the size that the planner
+    expects of them, so a broadcast would not fit the driver.
     """
     ball = radius.cast("double")
-    r = queries.where(finite()).withColumn("__r", ball).withColumn("__g", F.ceil(F.log2(F.greatest(ball, F.lit(1e-6)))).cast("int"))
+    r = queries.where(finite()).withColumn("__r", ball).withColumn("__g", _grid(ball))
     size = F.pow(F.lit(2.0), F.col("__g"))
     span = lambda k: F.sequence(F.floor((F.col(k) - F.col("__r")) / size), F.floor((F.col(k) + F.col("__r")) / size))
     asked = r.select("frame_id", F.col("point_index").alias("q_index"), *[F.col(k).alias(f"q{k}") for k in "xyz"], "__r", "__g", *[span(k).alias(f"s{k}") for k in "xyz"])
@@ -29,7 +36,7 @@ def radius_join(queries: DataFrame, targets: DataFrame, radius: Column) -> DataF
     grids = r.select("frame_id", "__g").distinct()
     held = targets.where(finite()).select("frame_id", F.col("point_index").alias("t_index"), "x", "y", "z").join(grids, "frame_id")
     held = held.select("*", *[F.floor(F.col(k) / size).alias(f"c{k}") for k in "xyz"])
-    met = asked.join(held, ["frame_id", "__g", "cx", "cy", "cz"])
+    met = asked.join(held.hint("merge"), ["frame_id", "__g", "cx", "cy", "cz"])
     d2 = sum(((F.col(k) - F.col(f"q{k}")) * (F.col(k) - F.col(f"q{k}")) for k in "yz"), (F.col("x") - F.col("qx")) * (F.col("x") - F.col("qx")))
     return met.withColumn("d2", d2).where(F.col("d2") <= F.col("__r") * F.col("__r")).select("frame_id", "q_index", "t_index", "d2")
 
@@ -162,9 +169,24 @@ def _block_counts(rows: pd.DataFrame, most: float):
 
 
 def noise_labels(points: DataFrame, cfg: NoiseConfig = NoiseConfig()) -> DataFrame:
-    """Add ``noise``: 1 where fewer than ``min_neighbours`` points, itself included, lie within a radius that grows with range."""
-    radius = F.greatest(planar_range(F.col("x"), F.col("y")) * cfg.radius_multiplier_m_per_m, F.lit(cfg.min_radius_m))
-    counts = radius_join(points, points, radius).groupBy("frame_id", F.col("q_index").alias("point_index")).agg(F.count("*").alias("neighbours"))
-    told = points.join(counts, ["frame_id", "point_index"], "left")
-    few = F.coalesce("neighbours", F.lit(0)) < cfg.min_neighbours
-    return told.withColumn("noise", F.when(few, NOISE).otherwise(VALID)).drop("neighbours")
+    """Add ``noise``: 1 where fewer than ``min_neighbours`` points, itself included, lie within a radius that grows with range.
+
+    Points that share a cell of a quarter of their grid's width are nearer to each other than their radii (the cell's diagonal is 0.433 of that width, a radius over
+    0.5 of it), so a cell of enough points decides all of them. Only the others, fewer than ``min_neighbours`` a cell, are counted pair by pair:
+    the pairs grow with the points, however dense these are.
+    """
+    radius = F.greatest(planar_range(F.col("x"), F.col("y")) * cfg.radius_multiplier_m_per_m, F.lit(cfg.min_radius_m)).cast("double")
+    side, cell = F.pow(F.lit(2.0), F.col("__g") - 2), ["frame_id", "__g", "__x", "__y", "__z"]
+    # Beyond so many cells from the origin (and for radii under the least grid's) rounding might decide; those points are counted.
+    surest = finite() & (F.col("__r") >= 2 * side) & (F.greatest(*[F.abs(F.col(k)) for k in "xyz"]) < side * 2.0**40)
+    sized = points.withColumn("__r", radius).withColumn("__g", F.when(finite(), _grid(F.col("__r"))))
+    sized = write_table(sized, "noise-points")
+    placed = sized.withColumns({f"__{k}": F.when(surest, F.floor(F.col(k) / side)) for k in "xyz"})
+    full = placed.where("__x is not null").groupBy(*cell).agg(F.count("*").alias("__n")).where(F.col("__n") >= cfg.min_neighbours)
+    told = placed.join(full.withColumn("__full", F.lit(True)).drop("__n").hint("merge"), cell, "left").select(*points.columns, "__r", "__full")
+    told = write_table(told, "noise-cells")
+    drop_table(sized)
+    counts = radius_join(told.where("__full is null"), told, F.col("__r")).groupBy("frame_id", F.col("q_index").alias("point_index")).agg(F.count("*").alias("__n"))
+    enough = counts.where(F.col("__n") >= cfg.min_neighbours).hint("merge")
+    few = F.col("__full").isNull() & F.col("__n").isNull()
+    return told.join(enough, ["frame_id", "point_index"], "left").select(*points.columns, F.when(few, NOISE).otherwise(VALID).alias("noise"))
