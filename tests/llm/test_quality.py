@@ -90,3 +90,40 @@ def test_forest_scores_against_a_slow_walk():
     good = np.arange(300) >= 5
     forest.calibrate(x, good)
     assert (got[~good] >= forest.threshold).all() and (got[good] >= forest.threshold).mean() <= 0.002 + 1 / 295
+
+
+def test_threshold_ranges_and_draws_are_of_all_labelled_rows(spark):
+    n = 30_000
+    at = lambda seed, below: f"cast(pmod(xxhash64(id, {seed}), {below}) as long)"
+    stats = spark.range(n, numPartitions=7).selectExpr("id as doc_id", *[f"{at(k, 40 + 10 * k)} as {s}" for k, s in enumerate(q.STATS)])
+    stats = stats.withColumns({"n_words": F.col("n_words") + 60, "word_chars": F.col("word_chars") + 300, "n_repeat_words": F.col("n_repeat_words") % 20})
+    bad = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(99)), F.lit(5)) == 0
+    stats = stats.withColumn("n_marks", F.when(bad, F.col("n_marks") * 2).otherwise(F.col("n_marks")))
+    # One row of a range of its own: it is not among the 20,000 smallest hashes.
+    far = stats.orderBy(F.xxhash64("doc_id").desc()).first().doc_id
+    stats = stats.withColumn("word_chars", F.when(F.col("doc_id") == far, 3900).otherwise(F.col("word_chars")))
+    labels = stats.select("doc_id", (~bad).cast("int").alias("quality"))
+    rows = stats.join(labels, "doc_id").toPandas()
+    x, good = q.features(rows), rows["quality"].to_numpy() == 1
+    params = q.ForestParams(trees=12)
+    got = q.fit_forest(stats, labels, params=params)
+    want = q.IsolationForest(params)
+    want.trees, want.scale = got.trees, got.scale
+    want.calibrate(x, good)
+    assert np.isfinite(want.threshold) and got.threshold == want.threshold
+    cuts = np.concatenate([cut[feature == 0] for feature, cut, *_ in got.trees])
+    assert cuts.max() > np.sort(x[:, 0])[-2]
+    again = q.fit_forest(stats.repartition(3), labels, params=params)
+    assert again.threshold == got.threshold and (again.score(x[:500]) == got.score(x[:500])).all()
+
+
+def test_draws_of_few_and_of_repeated_rows(spark):
+    stats = spark.range(5).selectExpr("id as doc_id", *[f"60 + id as {s}" for s in q.STATS]).withColumn("n_repeat_words", F.lit(0).cast("long"))
+    labels = stats.selectExpr("doc_id", "cast(doc_id < 4 as int) as quality")
+    few = q.fit_forest(stats, labels, params=q.ForestParams(trees=3))
+    assert len(few.trees) == 3 and few.scale == q._c(4)
+    many = stats.crossJoin(spark.range(3000).select()).repartition(4)
+    same = q.fit_forest(many, labels, params=q.ForestParams(trees=3))
+    assert same.scale == q._c(256)
+    only_bad = q.fit_forest(stats, labels.where("quality = 0"), params=q.ForestParams(trees=3))
+    assert len(only_bad.trees) == 3 and only_bad.threshold == np.inf

@@ -7,30 +7,34 @@ isolate its statistics: a short mean path is an anomaly. The cut on the path sco
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from voxelyard.llm._shared import released, small_batches, values_of, write_table
 
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper_words", "n_bars", "n_marks"]
 FEATURES = ["mean_word", "symbols", "repeats", "upper", "bars", "marks"]
+PASSED = "n_words >= 50 and 100 * n_repeat_words <= 50 * n_words"
+#: Bins of the scores; what lies above a bin is counted on the driver.
+BINS = 1 << 16
 _SYMBOL = re.compile(r"[#*$%&|<>]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 @dataclass(frozen=True)
 class ForestParams:
-    """trees and sample: as usual for isolation forests. labelled_rows: bound of the labelled sample, those of the smallest id hashes.
-    clean_loss: share of good labelled rows that the threshold may reject. seed: of the splits."""
+    """trees and sample: as usual for isolation forests. labelled_rows: None for all labelled rows; a caller's bound takes those of the smallest id hashes.
+    clean_loss: share of good labelled rows that the threshold may reject. seed: of the draws and splits."""
 
     trees: int = 128
     sample: int = 256
-    labelled_rows: int = 20_000
+    labelled_rows: int | None = None
     clean_loss: float = 0.002
     seed: int = 7
 
@@ -95,11 +99,15 @@ class IsolationForest:
         """Grow on rows ``x``; splits are drawn over the range of ``box``, so that values which no row of x has can be split off too."""
         rng = np.random.default_rng(self.params.seed)
         size = min(self.params.sample, len(x))
-        self.scale = _c(size) or 1.0
-        depth = 2 * math.ceil(math.log2(max(size, 2)))
-        for _ in range(self.params.trees if size else 0):
+        draws = (x[rng.choice(len(x), size, replace=False)] for _ in range(self.params.trees if size else 0))
+        return self.grow(draws, box.min(axis=0), box.max(axis=0), rng)
+
+    def grow(self, draws: Iterable[np.ndarray], low: np.ndarray, high: np.ndarray, rng: np.random.Generator) -> "IsolationForest":
+        """One tree for each draw of rows, all of one size."""
+        for x in draws:
+            self.scale = _c(len(x)) or 1.0
             nodes: list[list] = []
-            self._grow(x[rng.choice(len(x), size, replace=False)], box.min(axis=0), box.max(axis=0), depth, rng, nodes)
+            self._grow(x, low, high, 2 * math.ceil(math.log2(max(len(x), 2))), rng, nodes)
             self.trees.append(tuple(np.array(c) for c in zip(*nodes, strict=True)))
         return self
 
@@ -162,29 +170,114 @@ def rule_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return picked.mapInArrow(released(run), f"doc_id {kind}, " + ", ".join(f"{s} long" for s in STATS))
 
 
-def labelled_sample(labels: DataFrame, label_col: str = "quality", params: ForestParams = ForestParams()) -> DataFrame:
-    """``(doc_id, good, place)`` of at most ``labelled_rows`` labelled ids, those of the smallest id hashes; null labels and ids are left out."""
+def labelled_ids(labels: DataFrame, label_col: str = "quality", params: ForestParams = ForestParams()) -> DataFrame:
+    """``(doc_id, good, place)`` of every labelled id, or of the ``labelled_rows`` of the smallest id hashes; null labels and ids are left out."""
     known = labels.where(f"doc_id is not null and {label_col} is not null").groupBy("doc_id").agg(F.max(label_col).alias("good"))
-    known = write_table(known.withColumn("place", F.xxhash64("doc_id")), "labelled")
-    # Only the lowest hashes are sorted: tasks would otherwise send the driver a whole sample each.
-    share = 2 * params.labelled_rows / max(1, known.count())
-    lowest = known.where(F.col("place") < int((share - 0.5) * 2.0**64)) if share < 0.9 else known
-    return write_table(lowest.orderBy("place", "doc_id").limit(params.labelled_rows), "labelled-sample")
+    known = known.withColumn("place", F.xxhash64("doc_id"))
+    return known if params.labelled_rows is None else known.orderBy("place", "doc_id").limit(params.labelled_rows)
 
 
-def fit_forest(stats: DataFrame, labels: DataFrame, label_col: str = "quality", params: ForestParams = ForestParams(), sample: DataFrame | None = None) -> "IsolationForest":
-    """Forest over the rows of the labelled sample that pass the base rules, at most ``labelled_rows`` of them.
+def fit_forest(stats: DataFrame, labels: DataFrame, label_col: str = "quality", params: ForestParams = ForestParams()) -> "IsolationForest":
+    """Forest over all labelled rows that pass the base rules.
 
-    Trees grow on the good rows, so what they isolate quickly is unlike good text. The sample's bound makes it fit for a broadcast.
+    Trees grow on the good rows, so what they isolate quickly is unlike good text. Each tree draws its rows from all of them; the range of the splits
+    and the threshold are those of every labelled row. Only the draws and counts by bin reach the driver.
     """
-    sample = labelled_sample(labels, label_col, params) if sample is None else sample
-    rows = stats.join(F.broadcast(sample), "doc_id").where("n_words >= 50 and 100 * n_repeat_words <= 50 * n_words")
-    rows = rows.orderBy("place", *STATS).limit(params.labelled_rows).toPandas()
+    rows = stats.join(labelled_ids(labels, label_col, params), "doc_id").where(PASSED)
     forest = IsolationForest(params)
-    if not len(rows):
+    if params.labelled_rows is not None:
+        held = rows.orderBy("place", *STATS).limit(params.labelled_rows).toPandas()
+        x, good = features(held), held["good"].to_numpy() == 1
+        return forest.fit(x[good] if good.any() else x, x).calibrate(x, good) if len(held) else forest
+    rows = write_table(rows.select(F.xxhash64("place", *STATS).alias("place"), (F.col("good") == 1).alias("good"), *STATS), "labelled-stats")
+    box = [f(f"x{i}") for f in (F.min, F.max) for i in range(len(FEATURES))]
+    n, n_good, *ends = rows.mapInArrow(_by_rows(_feature_columns), _FEATURE_FIELDS).agg(F.count("*"), F.count_if("good"), *box).first()
+    if not n:
         return forest
-    x, good = features(rows), rows["good"].to_numpy() == 1
-    return forest.fit(x[good] if good.any() else x, x).calibrate(x, good)
+    grown = rows.where("good") if n_good else rows
+    low, high = np.array(ends).reshape(2, -1)
+    forest.grow(_draws(grown, n_good or n, params), low, high, np.random.default_rng(params.seed))
+    if 0 < n_good < n:
+        forest.threshold = _threshold(rows, forest, n_good, n - n_good)
+    return forest
+
+
+_FEATURE_FIELDS = "place long, good boolean, " + ", ".join(f"x{i} double" for i in range(len(FEATURES)))
+
+
+def _by_rows(columns):
+    """An Arrow function over batches of ``(place, good, STATS...)``; ``columns`` makes the named output columns from a batch and its features."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict(columns(batch, features({s: batch.column(s).to_numpy() for s in STATS})))
+
+    return released(run)
+
+
+def _feature_columns(batch: pa.RecordBatch, x: np.ndarray) -> dict:
+    return {"place": batch.column("place"), "good": batch.column("good"), **{f"x{i}": x[:, i] for i in range(x.shape[1])}}
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """SplitMix64's finalizer."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _draws(rows: DataFrame, n: int, params: ForestParams) -> Iterator[np.ndarray]:
+    """For each tree the features of ``sample`` of the ``n`` rows (all, if there are fewer): those of the smallest hashes by row and tree."""
+    size = min(params.sample, n)
+    marks = _mixed((np.arange(params.trees, dtype=np.uint64) + np.uint64(params.seed)) * np.uint64(0x9E3779B97F4A7C15))
+    x_cols = [f"x{i}" for i in range(len(FEATURES))]
+    share = (size + 8 * math.sqrt(size) + 32) / n
+    while True:
+        # Few rows outside the draw are sent; where too few were (repeated rows), more are asked for.
+        bound = np.uint64(min(share, 1.0) * (2**63 - 1024))
+
+        def run(batches: Iterator[pa.RecordBatch], bound=bound) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x, place = features({s: batch.column(s).to_numpy() for s in STATS}), batch.column("place").to_numpy().view(np.uint64)
+                for tree, mark in enumerate(marks):
+                    key = _mixed(place ^ mark) >> np.uint64(1)
+                    near = np.arange(len(key)) if share >= 1 else np.flatnonzero(key <= bound)
+                    near = near[np.argsort(key[near], kind="stable")[:size]]
+                    if len(near):
+                        columns = [np.full(len(near), tree, np.int32), key[near].view(np.int64), *x[near].T]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["tree", "key", *x_cols])
+
+        asked = rows.mapInArrow(released(run), "tree int, key long, " + ", ".join(f"{c} double" for c in x_cols))
+        first = F.row_number().over(W.partitionBy("tree").orderBy("key", *x_cols))
+        drawn = asked.withColumn("rank", first).where(F.col("rank") <= size).drop("rank").toPandas()
+        found = np.bincount(drawn["tree"], minlength=params.trees)
+        if share >= 1 or (found == size).all():
+            break
+        share *= 4
+    by_tree = drawn.sort_values(["tree", "key", *x_cols])
+    return (by_tree.loc[by_tree["tree"] == t, x_cols].to_numpy() for t in range(params.trees))
+
+
+def _threshold(rows: DataFrame, forest: IsolationForest, n_good: int, n_bad: int) -> float:
+    """The cut of ``IsolationForest.calibrate`` over all rows: scores are ranked by bins, the counts above each bin are added up on the driver."""
+    scored = rows.mapInArrow(_by_rows(lambda batch, x: {"score": forest.score(x), "good": batch.column("good")}), "score double, good boolean")
+    of_score = [F.count_if("good").alias("n_good"), F.count_if(~F.col("good")).alias("n_bad")]
+    counts = write_table(scored.groupBy("score").agg(*of_score).withColumn("bin", F.floor(F.col("score") * BINS)), "score-counts")
+    bins = counts.groupBy("bin").agg(F.sum("n_good").alias("good_above"), F.sum("n_bad").alias("bad_above")).toPandas().sort_values("bin", ascending=False)
+    for c in ("good_above", "bad_above"):
+        bins[c] = bins[c].cumsum() - bins[c]
+    above = rows.sparkSession.createDataFrame(bins, "bin long, good_above long, bad_above long")
+    w = W.partitionBy("bin").orderBy(F.desc("score"))
+    reached = [(F.col(f"{k}_above") + F.sum(f"n_{k}").over(w)).alias(f"{k}_from") for k in ("good", "bad")]
+    ranked = counts.join(F.broadcast(above), "bin").select("score", "n_good", "n_bad", *reached)
+    # The quantile "higher" of the good scores: so many of them reach it.
+    most = n_good - math.ceil((n_good - 1) * (1 - forest.params.clean_loss))
+    least = ranked.where((F.col("n_good") > 0) & (F.col("good_from") >= most)).agg(F.max("score")).first()[0]
+    gain = F.col("bad_from") / n_bad - F.col("good_from") / n_good
+    first = ranked.where((F.col("n_bad") > 0) & (F.col("score") > least)).agg(F.max(F.struct(gain, -F.col("score"))).alias("best")).first()["best"]
+    if first is None:
+        return math.inf
+    return (-first[1] + counts.where(F.col("score") < -first[1]).agg(F.max("score")).first()[0]) / 2
 
 
 def judge_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: ForestParams = ForestParams()) -> DataFrame:
@@ -211,12 +304,10 @@ def judge_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: ForestParams = ForestParams()) -> DataFrame:
     """The rows of ``docs`` that ``judge_quality`` keeps; the decision is made beside each row, so no text is shuffled.
 
-    For the forest, statistics are computed of the labelled sample's documents alone.
+    For the forest, statistics are computed once more: their rows, not the texts, meet the labels.
     """
     small_batches(docs.sparkSession)
-    sample = labelled_sample(labels, params=params)
-    known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi")
-    forest = fit_forest(rule_stats(known), labels, params=params, sample=sample)
+    forest = fit_forest(rule_stats(docs, id_col, text_col), labels, params=params)
 
     @F.arrow_udf("boolean")
     def good(texts: pa.Array) -> pa.Array:
