@@ -99,3 +99,18 @@ def test_signatures_tell_similarity():
         shared += (neardup._keys(a, factors, offsets) == neardup._keys(b, factors, offsets)).sum()
     want = (91 / 109) ** neardup.ROWS
     assert abs(shared / 300 / neardup.BANDS - want) < 0.03
+
+
+def test_simhash_finds_groups_and_their_links_are_verified(spark, monkeypatch):
+    """Without MinHash keys the fingerprints alone bring near copies together, and none that is under the similarity."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(neardup, "_keys", lambda *_: neardup.np.empty(0, neardup.np.int64))
+    words = [f"word{i}" for i in range(3000)]
+    rows = [(i, " ".join([*words[: 30 * i], *["a"] * (i > 0), *words[30 * i + 1 :]])) for i in range(4)]
+    rows += [(10, "one two three four five six"), (11, "one two three four five seven"), (12, " ".join(words[::-1]))]
+    rows += [(20, ""), (21, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()) == [0, 10, 11, 12, 20]
+    monkeypatch.setattr(neardup.simhash, "closest", lambda fps, segments: fps.selectExpr("min(fp) over () as src", "fp as dst").where("src != dst"))
+    assert sorted(set(c for _, c in check(docs))) == ["0", "10", "11", "12", "20"]

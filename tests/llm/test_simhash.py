@@ -117,3 +117,17 @@ def test_long_texts_by_slices(monkeypatch):
         text = " ".join(f"W{rng.randrange(9)}\u00e9" for _ in range(n)) + "\n"
         assert simhash.fingerprint(text) == brute_fingerprint(text)
     assert simhash.fingerprint("  \t") == 0
+
+
+def test_closest_by_segments_against_brute_force(spark):
+    rng = random.Random(5)
+    fps = {rng.getrandbits(64) for _ in range(300)}
+    for f in list(fps)[:150]:
+        fps |= {f ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(1, 10))) for _ in range(2)}
+    signed = sorted(f - (1 << 64) if f >> 63 else f for f in fps)
+    for segments in (2, 3, 4):
+        rows = simhash.closest(spark.createDataFrame([(f,) for f in signed], "fp long").repartition(3), segments).collect()
+        apart = lambda a, b: bin((a ^ b) & ((1 << 64) - 1)).count("1")
+        want = {f: min((apart(f, g) for g in signed[:i]), default=64) for i, f in enumerate(signed)}
+        assert {r.dst: apart(r.src, r.dst) for r in rows} == {f: d for f, d in want.items() if d < 2 * segments}
+        assert all(r.src < r.dst for r in rows)

@@ -1,7 +1,8 @@
-"""Near-duplicate groups by the Jaccard similarity of word shingles.
+"""Near-duplicate groups by the Jaccard similarity of word shingles: SimHash first, MinHash for what it cannot reach.
 
-SimHash of 64 bits cannot serve 0.8: of 48 such pairs of different shingle sets at the 10,000-document scale none is within two bits (five-word shingles), 46 %
-are within eight, and all within 14 only, for which eight segments of eight bits would have to be indexed. Here MinHash bands find the candidates and every link is verified on the whole shingle sets.
+SimHash fingerprints of the shingle sets are searched by deletion variants; nodes that meet are verified on their whole sets and become parts. 64 bits do not
+reach all of similarity 0.8 (README has the measured share; an index for the rest would have segments of eight bits), so MinHash bands find the candidates
+between the parts, and every link is verified on the whole shingle sets.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxelyard.llm import simhash
 from voxelyard.llm._shared import released, small_batches, values_of, words_of, write_table
 from voxelyard.operators.components import component_of, connected_components
 
@@ -22,6 +24,8 @@ from voxelyard.operators.components import component_of, connected_components
 SIMILARITY = 0.8
 WIDTH = 5
 BANDS, ROWS = 28, 4
+#: Segments of a SimHash fingerprint: all within seven bits share a variant of a segment of 16.
+SEGMENTS = 4
 #: Rounds of comparisons with bucket heads before what is still apart is compared in blocks of so many nodes.
 ROUNDS = 2
 BLOCK = 2048
@@ -59,22 +63,24 @@ def _keys(values: np.ndarray, factors: np.ndarray, offsets: np.ndarray) -> np.nd
 
 
 def _signatures(docs: DataFrame, width: int) -> DataFrame:
-    """``(doc_id, node, n, keys)`` of every row of ``(doc_id, text)``; n: distinct shingles."""
+    """``(doc_id, node, n, fp, keys)`` of every row of ``(doc_id, text)``; n: distinct shingles, fp: their SimHash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(SEED)
         factors = rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         offsets = rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
         for batch in batches:
-            nodes, sizes, keys = [], [], []
+            nodes, sizes, fps, keys = [], [], [], []
             for text in values_of(batch.column("text")):
                 values = shingle_set(text, width)
                 nodes.append(_node(values)), sizes.append(len(values)), keys.append(_keys(values, factors, offsets))
+                fps.append(simhash.fingerprint_of(values))
             ends = np.cumsum([0, *map(len, keys)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys) if keys else [], pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), lists], ["doc_id", "node", "n", "keys"])
+            columns = [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), lists]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "node", "n", "fp", "keys"])
 
-    return docs.mapInArrow(released(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, n long, keys array<long>")
+    return docs.mapInArrow(released(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, n long, fp long, keys array<long>")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -101,6 +107,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return sized.where(shared / (F.col("nx") + F.col("ny") - shared) >= similarity).select("src", "dst")
 
 
+def _simhash_pairs(named: DataFrame) -> DataFrame:
+    """At most one pair for each node: the first node of a fingerprint with that of the closest one found, the others with their fingerprint's first."""
+    heads = named.where("n > 0").groupBy("fp").agg(F.min("node").alias("head"))
+    found = simhash.closest(heads.select("fp"), SEGMENTS)
+    across = found.join(heads.select(F.col("fp").alias("src"), F.col("head").alias("a")), "src").join(heads.select(F.col("fp").alias("dst"), F.col("head").alias("b")), "dst")
+    within = named.where("n > 0").join(heads, "fp").where("node != head")
+    return across.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(within.select(F.col("head").alias("src"), F.col("node").alias("dst")))
+
+
 def _head_pairs(parts: DataFrame, n: int) -> DataFrame:
     """At most one pair for each node: with the head of one of its buckets, if that belongs to another part."""
     heads = parts.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(n), "node").alias("place"), "node", "part")).alias("head"))
@@ -165,7 +180,7 @@ def _links_between(similarity: float):
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
     """``(doc_id, component_id)`` per row of ``docs``: component_id is the smallest id that links of at least ``similarity`` reach.
 
-    Rows with the same shingles meet in one node first. Texts without words are one group. Two rounds compare each node with
+    Rows with the same shingles meet in one node first. Texts without words are one group. Nodes near by SimHash are compared first. Two rounds compare each node with
     one bucket head, so that a large group becomes one part by few pairs; then each node outside its bucket's largest part is compared with all others of the bucket,
     in blocks, and only links leave a block. Repeated rows and ids stay as they are; a null
     id never names a component unless all ids of the component are null. An empty table gives an empty result.
@@ -173,20 +188,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     small_batches(docs.sparkSession)
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     signed = write_table(_signatures(picked, width), "neardup-signatures")
-    named = signed.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    named = signed.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    near = write_table(_simhash_pairs(named), "neardup-simhash")
     buckets = named.select("node", "n", F.explode("keys").alias("key"))
     several = buckets.groupBy("key").agg(F.count("*").alias("held")).where("held > 1").select("key")
     shared = write_table(buckets.join(several, "key").select("key", "node", "n"), "neardup-buckets")
 
     # Shingles of candidates alone are needed; their texts are found by the smallest id of the node.
-    nodes = shared.select("node").distinct()
+    nodes = shared.select("node").union(near.select("src")).union(near.select("dst")).distinct()
     of = named.join(nodes, "node", "left_semi").select(F.col("least").alias("doc_id")).where("doc_id is not null").distinct()
     texts = picked.join(of, "doc_id", "left_semi").union(picked.where("doc_id is null"))
     sets = write_table(_sets(texts, width).join(nodes, "node", "left_semi").dropDuplicates(["node"]), "neardup-sets")
 
-    reached, parts = None, shared.withColumn("part", F.col("node"))
-    for n in range(ROUNDS + 1):
-        if n < ROUNDS:
+    # Nodes that meet by SimHash, then by bucket heads, then what is still apart in a bucket.
+    reached, parts = None, None
+    for n in range(-1, ROUNDS + 1):
+        if n < 0:
+            links = _verified(near, sets, similarity)
+        elif n < ROUNDS:
             links = _verified(_head_pairs(parts, n), sets, similarity)
         else:
             dealt = _split_buckets(parts).join(sets, "node")

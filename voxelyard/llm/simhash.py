@@ -119,14 +119,23 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return picked.mapInArrow(released(run), f"doc_id {kind.simpleString()}, fp long")
 
 
-def _variants(fps: DataFrame) -> DataFrame:
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """SimHash of 64-bit shingle hashes; zero if there are none."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), SLICE):
+        counts += np.unpackbits(hashes[at : at + SLICE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def _variants(fps: DataFrame, segments: int = 2) -> DataFrame:
     """64 rows for each fingerprint: (segment, masked bit, rest of the segment) packed into one long."""
-    segments = [F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32)]
     keys = []
-    for s, segment in enumerate(segments):
-        for bit in range(32):
-            masked = segment.bitwiseAND(F.lit(0xFFFFFFFF & ~(1 << bit)))
-            keys.append(masked.bitwiseOR(F.lit((s * 32 + bit) << 32)))
+    for s in range(segments):
+        low, high = 64 * s // segments, 64 * (s + 1) // segments
+        segment = F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << high - low) - 1))
+        for bit in range(high - low):
+            masked = segment.bitwiseAND(F.lit((1 << high - low) - 1 & ~(1 << bit)))
+            keys.append(masked.bitwiseOR(F.lit((low + bit) << 32)))
     return fps.select("fp", F.explode(F.array(*keys)).alias("key"))
 
 
@@ -230,6 +239,31 @@ def near_links(fps: DataFrame) -> DataFrame:
     return links.union(chained.mapInArrow(_chain, "src long, dst long"))
 
 
+def closest(fps: DataFrame, segments: int = 2) -> DataFrame:
+    """``(src, dst)``: for each distinct fingerprint ``dst`` a closest of those before it in its variants, within ``2 * segments - 1`` bits.
+
+    Two fingerprints so near differ in at most one bit in some segment, so they meet in a variant as in ``near_links``. A member of a variant is compared with the
+    ``RUN_LIMIT`` before it; what that leaves out of larger ones is the caller's to find.
+    """
+    most = 2 * segments - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, fp in _runs(batches):
+            bits, before = np.full(len(fp), most + 1, np.uint8), fp.copy()
+            for step in range(1, RUN_LIMIT + 1):
+                same = np.flatnonzero(key[step:] == key[:-step])
+                if not len(same):
+                    break
+                apart = _popcount(fp[same] ^ fp[same + step])
+                less = apart < bits[same + step]
+                bits[same[less] + step], before[same[less] + step] = apart[less], fp[same[less]]
+            near = bits <= most
+            yield pa.RecordBatch.from_arrays([pa.array(before[near]), pa.array(fp[near]), pa.array(bits[near].astype(np.int32))], ["src", "dst", "bits"])
+
+    met = _variants(fps, segments).repartition("key").sortWithinPartitions("key", "fp").mapInArrow(released(run), "src long, dst long, bits int")
+    return met.groupBy("dst").agg(F.min(F.struct("bits", "src")).alias("best")).select("best.src", "dst")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """``(doc_id, fp, component_id)`` per row of ``docs``: component_id is the smallest id that links of at most two bits reach.
 
